@@ -7,13 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import fingerprint, sharding
+from tickloom.llm import fingerprint, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_count_min_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), size=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, sha256(array_to_string(list_slice(words, i, i + 49), ' ')) AS content
+  FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 49)) AS i FROM split WHERE len(words) >= 50)
+), first_seen AS (
+  SELECT content, min(doc_id) AS first_doc FROM windows GROUP BY content HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT doc_id, list(DISTINCT place) AS places
+  FROM (SELECT w.doc_id, unnest(generate_series(i, i + 49)) AS place
+        FROM windows w JOIN first_seen f ON w.content = f.content AND f.first_doc < w.doc_id)
+  GROUP BY doc_id
+)
+SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string([words[k] FOR k IN generate_series(1, len(words))
+                               IF NOT list_contains(coalesce(places, []), k)], ' ')) AS kept_sha256
+FROM split s LEFT JOIN gone g ON s.doc_id = g.doc_id
+"""
+
+
 def op5_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), n_shards=8)
 
@@ -32,6 +59,6 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_hash_tree_sharding, op7_order_minhash)
+    f.__name__: f for f in (op1_count_min_substring_dedup, op5_hash_tree_sharding, op7_order_minhash)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_count_min_substring_dedup": OP1_SQL}
