@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import fingerprint, sharding, substring_dedup
+from tickloom.llm import fingerprint, near_dedup, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,39 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=5, percent=85)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, hash(list_slice(words, i, i + 4)) AS shingle
+  FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) AS i FROM split WHERE len(words) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n
+  HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS seen FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.seen
+), grouped AS (
+  SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT g.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, g.doc_id = component_id AS kept
+FROM grouped g LEFT JOIN sizes s ON s.doc_id = g.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_count_min_substring_dedup, op5_hash_tree_sharding, op7_order_minhash)
+    f.__name__: f for f in (op1_count_min_substring_dedup, op5_hash_tree_sharding, op7_order_minhash, op8_hyperminhash_near_dedup)
 }
-ORACLES: dict[str, str] = {"op1_count_min_substring_dedup": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_count_min_substring_dedup": OP1_SQL, "op8_hyperminhash_near_dedup": OP8_SQL}
