@@ -65,6 +65,33 @@ class Direction:
             states[t] = state
         return states, saved
 
+    def states(self, data: np.ndarray) -> np.ndarray:
+        """``forward`` without keeping anything: the same steps in buffers that are used again."""
+        h, rows, (E, U, V) = HIDDEN, data.shape[1], self.params.values()
+        # tanh(x / 2) is the gates' sigmoid but for scale and shift
+        e_gates, e_new, u = np.ascontiguousarray(E[:, : 2 * h]) / 2, np.ascontiguousarray(E[:, 2 * h :]), U / 2
+        gates, more = np.empty((rows, 2 * h), np.float32), np.empty((rows, 2 * h), np.float32)
+        new, given, reset = (np.empty((rows, h), np.float32) for _ in range(3))
+        out = np.empty((*data.shape, h), np.float32)
+        state = np.zeros((rows, h), np.float32)
+        for t in range(len(data)):
+            np.take(e_gates, data[t], 0, out=gates, mode="clip")
+            np.matmul(state, u, out=more)
+            gates += more
+            np.tanh(gates, out=gates)
+            gates *= np.float32(0.5)
+            gates += np.float32(0.5)
+            np.multiply(gates[:, h:], state, out=reset)
+            np.matmul(reset, V, out=new)
+            np.take(e_new, data[t], 0, out=given, mode="clip")
+            new += given
+            np.tanh(new, out=new)
+            new -= state
+            new *= gates[:, :h]
+            np.add(state, new, out=out[t])
+            state = out[t]
+        return out
+
     def backward(self, data: np.ndarray, saved, back: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients, where ``back`` holds those of the states."""
         h, (E, U, V) = HIDDEN, self.params.values()
@@ -101,12 +128,15 @@ class Network:
     def positions(self, windows: np.ndarray) -> np.ndarray:
         """Probabilities (WINDOW, rows, languages) of every position of ``windows`` (rows, WINDOW)."""
         data = np.ascontiguousarray(windows.T)
-        a = self.ahead.forward(data)[0]
-        b = self.behind.forward(data[::-1])[0][::-1]
-        scores = a @ self.top["W"][:HIDDEN] + b @ self.top["W"][HIDDEN:] + self.top["b"]
-        scores -= scores.max(-1, keepdims=True)
+        a = self.ahead.states(data)
+        b = np.ascontiguousarray(self.behind.states(np.ascontiguousarray(data[::-1]))[::-1])
+        scores = a.reshape(-1, HIDDEN) @ self.top["W"][:HIDDEN]
+        scores += b.reshape(-1, HIDDEN) @ self.top["W"][HIDDEN:]
+        scores += self.top["b"]
+        np.clip(scores, -40, 40, out=scores)  # float32 holds exp of these
         np.exp(scores, out=scores)
-        return scores / scores.sum(-1, keepdims=True)
+        scores /= (scores @ np.ones(scores.shape[1], np.float32))[:, None]
+        return scores.reshape(*data.shape, -1)
 
     def gradients(self, windows: np.ndarray, labels: np.ndarray):
         """(loss, gradients in the order of ``all_params``): mean log loss over letter positions."""
@@ -162,10 +192,10 @@ class Network:
             r, s = row[at : at + step], start[at : at + step]
             place = s[:, None] + np.arange(WINDOW)
             real = place < bounds[r + 1][:, None]
-            windows = np.where(real, data[np.minimum(place, len(data) - 1)], 32)
-            seen = np.where(real, LETTER[windows] + 1e-6, 0)
+            windows = np.where(real, data[np.minimum(place, len(data) - 1)], np.uint8(32))
+            seen = np.where(real, LETTER[windows] + np.float32(1e-6), np.float32(0))
             p = self.positions(windows)
-            mass = np.einsum("trk,rt->rk", p, seen, optimize=False)
+            mass = np.einsum("trk,tr->rk", p, np.ascontiguousarray(seen.T))
             for k in range(total.shape[1]):
                 total[:, k] += np.bincount(r, mass[:, k], n)
             weight += np.bincount(r, seen.sum(1), n)

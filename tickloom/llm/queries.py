@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import fingerprint, near_dedup, sharding, substring_dedup
+from tickloom.llm import ann, fingerprint, langid, near_dedup, packing, pieces, quality, sharding, substring_dedup, toxicity
+from tickloom.llm.hashed import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,7 +91,72 @@ FROM grouped g LEFT JOIN sizes s ON s.doc_id = g.doc_id
 """
 
 
+def op2_recurrent_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 4, 2)
+    network = langid.fit(documents, ~held)
+    return langid.predict(documents.select("doc_id", held.alias("held_out"), "text"), network).drop("text")
+
+
+def op3_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op4_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 5, 0)
+    model = quality.fit(documents, _table(spark, sf_dir, "labels"), ~held)
+    return quality.score_quality(documents.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+
+
+def _word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def _piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), _word_tokenizer(), capacity=4096, end_id=1)
+
+
+def op9_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the number and CRC-32 of its ids, and the SHA-256 of the decoded text."""
+    model = _piece_model()
+    encoded = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    return pieces.decode(encoded, model).select(
+        "doc_id",
+        F.floor(F.octet_length("piece_ids") / 4).cast("long").alias("n_ids"),
+        F.crc32("piece_ids").alias("ids_crc32"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_weakly_supervised_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 4, 2)
+    model = toxicity.fit(documents, _table(spark, sf_dir, "labels"), ~held)
+    return toxicity.score_toxicity(documents.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_count_min_substring_dedup, op5_hash_tree_sharding, op7_order_minhash, op8_hyperminhash_near_dedup)
+    f.__name__: f
+    for f in (
+        op1_count_min_substring_dedup,
+        op2_recurrent_language_id,
+        op3_inverted_multi_index,
+        op4_ftrl_quality,
+        op5_hash_tree_sharding,
+        op6_sum_of_squares_packing,
+        op7_order_minhash,
+        op8_hyperminhash_near_dedup,
+        op9_unigram_pieces,
+        op10_weakly_supervised_toxicity,
+    )
 }
 ORACLES: dict[str, str] = {"op1_count_min_substring_dedup": OP1_SQL, "op8_hyperminhash_near_dedup": OP8_SQL}
