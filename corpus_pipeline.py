@@ -1,8 +1,71 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read by the next.
 
-STAGES = []
-ORACLE_SQL = None
+A stage takes (spark, docs, sf_dir) and works on all that the one before kept. Every stage
+but the last returns the columns of ``documents``; the last returns packed pieces.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tickloom.llm import near_dedup, packing, quality, substring_dedup, toxicity
+from tickloom.llm.hashed import held_out
+from tickloom.llm.queries import _word_tokenizer
+from tickloom.llm.shared import checkpoint_dir
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit(docs, _labels(spark, sf_dir), ~held_out(F.col("doc_id"), 4, 2))
+    return toxicity.score_toxicity(docs, model).filter("predicted = 0").select(*docs.columns)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit(docs, _labels(spark, sf_dir), ~held_out(F.col("doc_id"), 5, 0))
+    return quality.score_quality(docs, model).filter("predicted = 1").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = near_dedup.near_duplicates(docs, shingle=5, percent=80).filter("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A text that loses words keeps the others, joined by one space; other texts stay as they are."""
+    kept = substring_dedup.remove_repeats(docs.select("doc_id", "text"), size=50).select("doc_id", "n_removed", "kept")
+    cut = kept.filter("n_removed > 0").select("doc_id", "kept")
+    changed = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce(F.col("kept").cast("string"), "text"))
+    return changed.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(
+        *docs.columns
+    )
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, _word_tokenizer(), capacity=4096, end_id=1)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_low_quality),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("packing", pack),
+]
+ORACLE_SQL = None  # the stages with learned models and the tokenizer are not SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what lies between is written to the shared checkpoint folder."""
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
