@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from tickloom.llm import near_dedup, substring_dedup
 
 
@@ -14,19 +16,35 @@ def texts():
     return [" ".join(x) for x in out] + ["", None, "one two", "ONE two"]
 
 
-def test_near_duplicates(spark):
-    rows = list(enumerate(texts()))
+def drifting_texts():
+    """Copies that drift away from one text step by step, and loose copies of another."""
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(400)]
+    base, out = r.choices(words, k=150), []
+    for k in range(60):
+        out.append(list(base))
+        base[r.randrange(150)] = f"new{k}"
+    other = r.choices(words, k=140)
+    for k in range(80):
+        out.append([f"x{k}" if r.random() < 0.02 else w for w in other])
+    r.shuffle(out)
+    return [" ".join(x) for x in out]
+
+
+@pytest.mark.parametrize("make, block", [(texts, near_dedup.BLOCK), (drifting_texts, near_dedup.BLOCK), (drifting_texts, 7)])
+def test_near_duplicates(spark, monkeypatch, make, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rows = list(enumerate(make()))
     got = {r["doc_id"]: r for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
     sets = []
     for _, t in rows:
         w = (t or "").lower().split()
         sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
     label = list(range(len(rows)))
+    linked = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if a and b and 100 * len(a & b) >= 85 * len(a | b)]
     for _ in rows:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if a and b and 100 * len(a & b) >= 85 * len(a | b):
-                    label[i] = min(label[i], label[j])
+        for i, j in linked:
+            label[i] = min(label[i], label[j])
     assert [got[k]["component_id"] for k, _ in rows] == label
     assert [got[k]["n_shingles"] for k, _ in rows] == [len(s) for s in sets]
 

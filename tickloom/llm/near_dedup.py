@@ -15,11 +15,12 @@ as one, if fewer; nothing, if none). Two documents are linked if
    The collision-corrected estimate drops pairs more than six deviations below the
    threshold; the others are confirmed on their full sets.
 5. *Rest.* In buckets that still hold several components, pairs of different components are
-   estimated in blocks of at most ``BLOCK`` rows; what passes is confirmed as well. So every
-   pair that shares a band is either inside one component, refuted, or confirmed.
+   estimated and confirmed in memory, in blocks of about ``BLOCK`` rows and ``BLOCK_SHINGLES``
+   shingles; only a spanning forest of the links leaves a block. So every pair that shares a
+   band is either inside one component, refuted, or confirmed, and no list of pairs arises.
 
 Set and class hashes have 64 bits. Buckets are aggregated by partial aggregation and joined,
-never collected; a bucket larger than ``BLOCK`` is compared block by block.
+never collected; a bucket larger than a block is compared block by block.
 
 Defined results: null or empty text, or no words: size 0, linked with nothing, its own
 component; equal rows are one class; a null key stays null as component unless linked; keys
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,7 @@ MANTISSA = 10
 ROWS = 4
 BANDS = REGISTERS // ROWS
 BLOCK = 2000
+BLOCK_SHINGLES = 4_000_000
 FILTER_BITS = 1 << 26
 #: chance that two independent registers agree: a mantissa cell is this share of its place
 COLLISION = 1 / (8 * math.log(2))
@@ -231,48 +234,76 @@ def star_pairs(classes: DataFrame, buckets: DataFrame, percent: int) -> DataFram
     return map_arrow(held.select("a", "b", "n_a", "n_b", "r_a", "r_b"), work, "a long, b long")
 
 
-def rest_pairs(classes: DataFrame, buckets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a bucket but no component, and may reach the threshold.
+def rest_links(
+    documents: DataFrame, classes: DataFrame, buckets: DataFrame, labels: DataFrame, key: str, text: str, shingle: int, percent: int
+) -> DataFrame:
+    """Links between the components that still share a bucket, enough of them to join all that belong together.
 
-    A bucket of two is its own star. Larger ones are cut into blocks of ``BLOCK`` rows by a
-    hash; each pair of blocks is one group, compared in memory row against block.
+    A bucket of two is its own star. Larger ones are cut into blocks by a hash; each pair of
+    blocks is one group, compared in memory by registers and, where these allow a link, on full
+    sets. A group returns a spanning forest of its links, so fewer rows than it has members. A
+    pair is judged in the first bucket that it shares.
     """
-    own = classes.select("class", "n", "registers").join(labels.select(F.col("v").alias("class"), "label"), "class", "left")
+    own = classes.select("class", "n", "registers", "bands").join(labels.select(F.col("v").alias("class"), "label"), "class", "left")
     own = own.withColumn("label", F.coalesce("label", "class"))
-    members = buckets.filter("members > 2").join(own.select("class", "label"), "class")
+    members = buckets.filter("members > 2").select("band", "class").join(own.select("class", "label", "n"), "class")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     open_bands = (
         members.groupBy("band")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), blocks.alias("blocks"))
         .filter("low < high")
-        .select("band")
+        .select("band", "blocks")
     )
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    held = (
-        members.select("band", "class", "members")
-        .join(open_bands, "band", "left_semi")
-        .join(own, "class")
-        .withColumn("mine", F.pmod(F.xxhash64("class"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(
-            "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class", "label", "n", "registers"
-        )
+    held = checkpointed(members.select("band", "class").join(open_bands, "band"))
+    wanted = classes.select("class", "first").join(held.select("class").distinct(), "class", "left_semi")
+    sets = sets_of(documents, wanted, key, text, shingle).dropDuplicates(["class"])
+    dealt = (
+        held.join(own.join(sets, "class"), "class")
+        .withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("i", F.least("mine", "other"))
+        .withColumn("j", F.greatest("mine", "other"))
+        .select("band", "i", "j", "mine", "class", "label", "n", "registers", "bands", "shingles")
     )
 
     def work(table: pa.Table) -> pa.Table:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        mine, cls = table["mine"].to_numpy(), table["class"].to_numpy()
-        label, n, regs = table["label"].to_numpy(), table["n"].to_numpy(), _matrix(table["registers"])
+        table = table.sort_by("class")  # the forest must not depend on the order of arrival
+        band, i, j = (table[c][0].as_py() for c in ("band", "i", "j"))
+        mine, cls, label, n = (table[c].to_numpy().copy() for c in ("mine", "class", "label", "n"))
+        regs = _matrix(table["registers"])
+        bands = _flat(table["bands"])[0].reshape(-1, BANDS)
+        place = int(np.flatnonzero(bands[0] == band)[0])
+        values, ends = _flat(table["shingles"])
+        code = np.unique(values, return_inverse=True)[1]
+        start, marked = ends - n, np.zeros(len(values), bool)
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
         a, b = [], []
         for x in left:
             at = right[(label[right] != label[x]) & ((cls[right] > cls[x]) | (i != j))]
+            at = at[~(bands[at, :place] == bands[x, :place]).any(axis=1)]
             at = at[estimate_passes(regs[x], regs[at], n[x], n[at], percent)] if len(at) else at
-            a.append(np.full(len(at), cls[x]))
-            b.append(cls[at])
+            if not len(at):
+                continue
+            begins = np.concatenate(([0], np.cumsum(n[at])))[:-1]
+            spots = np.arange(int(n[at].sum())) + np.repeat(start[at] - begins, n[at])
+            marked[code[start[x] : ends[x]]] = True
+            both = np.add.reduceat(marked[code[spots]], begins, dtype=np.int64)
+            marked[code[start[x] : ends[x]]] = False
+            linked = at[both * 100 >= (n[x] + n[at] - both) * percent]
+            if len(linked):
+                met, chosen = np.unique(label[linked], return_index=True)
+                a.append(np.full(len(chosen), cls[x]))
+                b.append(cls[linked[chosen]])
+                label[np.isin(label, met)] = label[x]
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return held.groupBy("band", "i", "j").applyInArrow(work, "a long, b long").distinct()
+    return dealt.groupBy("band", "i", "j").applyInArrow(work, "a long, b long").distinct()
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column without nulls, one list after the other, and where each list ends."""
+    return lists.combine_chunks().flatten().to_numpy(), np.cumsum(pa.compute.list_value_length(lists).to_numpy(), dtype=np.int64)
 
 
 def _matrix(registers) -> np.ndarray:
@@ -302,11 +333,9 @@ def near_duplicates(
 
     links = checkpointed(confirmed(stars, sets(stars), percent))
     labels = components(links)
-    rest = checkpointed(rest_pairs(classes, buckets, labels, percent).join(stars, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = checkpointed(confirmed(rest, sets(rest), percent))
-        if not more.isEmpty():
-            labels = components(links.union(more))
+    more = checkpointed(rest_links(documents, classes, buckets, labels, key, text, shingle, percent))
+    if not more.isEmpty():
+        labels = components(links.union(more))
     group = classes.select("class", "first").join(labels.withColumnRenamed("v", "class"), "class", "left")
     group = group.withColumn("label", F.coalesce("label", "class"))
     least = group.groupBy("label").agg(F.min("first").alias("least"))
