@@ -31,19 +31,35 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return quality.score_quality(docs, model).filter("predicted = 1").select(*docs.columns)
 
 
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a number of each row that rises with doc_id, null ids last.
+
+    A doc_id may be null or repeated, so rows are judged by this number. It is written to the
+    shared folder, as numbers given anew need not be the same. Rows of one doc_id are put in
+    order, and dealt to tasks, by a hash of their text.
+    """
+    folder = f"{checkpoint_dir(spark)}/numbered-{uuid.uuid4().hex}"
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    ordered.withColumn("_row", F.monotonically_increasing_id()).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.near_duplicates(docs, shingle=5, percent=80).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near-duplicate rows the first by doc_id stays, whatever the ids are."""
+    rows = _numbered(spark, docs)
+    kept = near_dedup.near_duplicates(rows, key="_row", shingle=5, percent=80).filter("kept").select("_row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A text that loses words keeps the others, joined by one space; other texts stay as they are."""
-    kept = substring_dedup.remove_repeats(docs.select("doc_id", "text"), size=50).select("doc_id", "n_removed", "kept")
-    cut = kept.filter("n_removed > 0").select("doc_id", "kept")
-    changed = docs.join(cut, "doc_id", "left").withColumn("text", F.coalesce(F.col("kept").cast("string"), "text"))
-    return changed.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(
-        *docs.columns
-    )
+    rows = _numbered(spark, docs)
+    found = substring_dedup.remove_repeats(rows, key="_row", size=50, carry=tuple(docs.columns))
+    cut = F.col("n_removed") > 0
+    changed = found.select("row.*", cut.alias("_cut"), F.when(cut, F.col("kept")).alias("_kept"))
+    return changed.withColumn("text", F.when(F.col("_cut"), F.col("_kept")).otherwise(F.col("text"))).withColumn(
+        "n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    ).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

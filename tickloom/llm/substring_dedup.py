@@ -205,13 +205,17 @@ def removed_runs(runs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(
-    documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 50
+    documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 50, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Per input row: the key, n_words, n_removed and kept (the kept words joined by one space)."""
+    """Per input row: the key, n_words, n_removed, kept (the kept words joined by one space) and
+    ``row``, a struct of the columns that ``carry`` names, if any."""
+    held = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry) if c != text]
+    names = ["text" if c == text else f"_carry{i}" for i, c in enumerate(carry)]
     rows = documents.select(
         F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)).alias("key"),
         F.col(key).alias("_key"),
         F.col(text).alias("text"),
+        *held,
     ).withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = sketch_width(total)
@@ -224,7 +228,7 @@ def remove_repeats(
         .agg(F.collect_set(F.struct("at", "mask")).alias("gone"))
         .select("key", "tag", F.col("gone.at").alias("at"), F.col("gone.mask").alias("mask"))
     )
-    joined = rows.join(lists, ["key", "tag"], "left").select("_key", "at", "mask", "text")
+    joined = rows.join(lists, ["key", "tag"], "left").select("_key", "at", "mask", "text", *[n for n in names if n != "text"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
@@ -240,12 +244,17 @@ def remove_repeats(
                     split = [w for w, gone in zip(split, covered.tolist()) if not gone]
                 kept.append(b" ".join(split).decode("utf-8"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words), pa.array(n_removed), pa.array(kept, pa.string())],
-                [key, "n_words", "n_removed", "kept"],
+                [batch.column(0), pa.array(n_words), pa.array(n_removed), pa.array(kept, pa.string()), *[batch.column(n) for n in names]],
+                [key, "n_words", "n_removed", "kept", *[f"_carry{i}" for i in range(len(names))]],
             )
 
+    kinds = [f"_carry{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
     kind = documents.schema[key].dataType.simpleString()
-    return map_arrow(joined, work, f"`{key}` {kind}, n_words long, n_removed long, kept string")
+    out = map_arrow(joined, work, ", ".join([f"`{key}` {kind}, n_words long, n_removed long, kept string", *kinds]))
+    if not carry:
+        return out
+    row = F.struct(*[F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)])
+    return out.select(key, "n_words", "n_removed", "kept", row.alias("row"))
 
 
 def _covered(at: np.ndarray, mask: np.ndarray, n_words: int, size: int) -> np.ndarray:
