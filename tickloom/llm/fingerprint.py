@@ -1,10 +1,11 @@
 """Document fingerprints by Order MinHash, in array expressions only.
 
 The symbols are words (runs of non-space characters), the k-mers are runs of ``k`` words.
-Every k-mer carries its occurrence number within the text, so repeats count. K-mers rank by
-(hash, occurrence number); the hash's leading bits deal them to ``2 ** entry_bits`` equal
-ranges. In each range the ``order`` smallest are kept, put back into text order and hashed
-as a tuple, which is the signature's entry for that range. Moving a passage changes tuples
+Every k-mer carries its occurrence number within the text, so repeats count. A k-mer's draw is
+a hash of the k-mer and its occurrence number; the draw's leading bits deal it to
+``2 ** entry_bits`` equal ranges. In each range the ``order`` smallest draws are kept, put back
+into text order, and their k-mers, without the numbers, hashed as a tuple, which is the
+signature's entry for that range. Moving a passage changes tuples
 even where the set of words stays, which is what makes the signature follow edit distance
 rather than set overlap.
 
@@ -12,8 +13,9 @@ A signature is the array of the entries that exist, each a long of range and tup
 Likeness of two signatures: entries equal over ranges with an entry in at least one of them;
 1 if both are empty.
 
-Everything is linear in the text but one sort of a primitive array: hash and position are
-packed into one long (38 and 24 bits; a text of over 16 million words reuses positions).
+Everything is linear in the text but two sorts of a primitive array, by k-mer and by draw: hash
+and position are packed into one long (38 and 24 bits; a text of over 16 million words reuses
+positions, and with them the k-mers looked up by position).
 
 Defined results: null and empty texts, and texts of space only, have no k-mers and the
 empty signature; a text of fewer than ``k`` words is one k-mer; equal texts have equal
@@ -39,43 +41,63 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _kmers(words: Column, k: int) -> Column:
-    """Sorted longs: (leading bits of the hash of the k words from position i, i).
+    """The hashes of the k words from each position, in text order."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0)))
+    return F.transform(
+        starts, lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(words, i + j) for j in range(k)]), 64 - HASH_BITS)
+    )
+
+
+def _packed(hashed: Column, i: Column) -> Column:
+    """A hash of ``HASH_BITS`` bits above a position, as a long that is not negative."""
+    return F.shiftleft(hashed, POSITION_BITS).bitwiseOR(i.cast("long").bitwiseAND(F.lit(POSITION_MASK)))
+
+
+def _draws(hashes: Column) -> Column:
+    """Sorted longs: (leading bits of the hash of k-mer and occurrence number, position).
 
-    Equal k-mers are neighbours in text order, so their order is that of occurrence numbers.
+    Sorted by (hash, position), equal k-mers are neighbours in text order: the occurrence number
+    is the place in the run that starts at ``heads``.
     """
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0)))
 
-    def packed(i: Column) -> Column:
-        hashed = F.xxhash64(*[F.get(words, i + j) for j in range(k)])
-        top = F.shiftleft(F.shiftrightunsigned(hashed, 64 - HASH_BITS), POSITION_BITS)
-        return top.bitwiseOR(i.cast("long").bitwiseAND(F.lit(POSITION_MASK)))
+    def numbered(a: Column) -> Column:
+        def kmer(i: Column) -> Column:
+            return F.shiftright(F.get(a, i), POSITION_BITS)
+
+        def of_runs(heads: Column) -> Column:
+            def run(head: Column, j: Column) -> Column:
+                end = F.coalesce(F.get(heads, j + 1), F.size(a))
+                # not F.slice, which copies the whole array each time
+                return F.transform(F.sequence(F.lit(0), end - head - 1), lambda n: draw(F.get(a, head + n), n))
+
+            return F.flatten(F.transform(heads, run))
 
-    return F.sort_array(F.transform(starts, packed))
+        places = F.sequence(F.lit(0), F.size(a) - 1)
+        return let(F.filter(places, lambda i: (i == 0) | (kmer(i) != kmer(F.greatest(i - 1, F.lit(0))))), of_runs)
 
+    def draw(x: Column, occurrence: Column) -> Column:
+        drawn = F.xxhash64(F.shiftright(x, POSITION_BITS), occurrence)
+        return _packed(F.shiftrightunsigned(drawn, 64 - HASH_BITS), x)
 
-def _entries(kmers: Column, entry_bits: int, order: int) -> Column:
-    """The signature, from sorted k-mers that are not empty."""
+    return F.sort_array(let(F.sort_array(F.transform(hashes, _packed)), numbered))
+
+
+def _entries(hashes: Column, draws: Column, entry_bits: int, order: int) -> Column:
+    """The signature, from k-mers in text order and their sorted draws, not empty."""
     tail = PACKED_BITS - entry_bits
 
     def same_range(x: Column, y: Column) -> Column:
         return F.shiftright(x.bitwiseXOR(y), tail) == 0
 
     def is_kept(x: Column, i: Column) -> Column:
-        return (i < order) | ~same_range(x, F.get(kmers, F.greatest(i - order, F.lit(0))))
+        return (i < order) | ~same_range(x, F.get(draws, F.greatest(i - order, F.lit(0))))
 
     def tuple_of(kept: Column, i: Column) -> Column:
-        """Of the range whose smallest k-mer is kept[i]: its members, position first, sorted."""
+        """Of the range whose smallest draw is kept[i]: its members' k-mers in text order."""
         head = F.get(kept, i)
         mine = F.filter(F.slice(kept, i + 1, order), lambda y: same_range(head, y))
-        by_place = F.sort_array(
-            F.transform(
-                mine,
-                lambda y: F.shiftleft(y.bitwiseAND(F.lit(POSITION_MASK)), HASH_BITS).bitwiseOR(
-                    F.shiftright(y, POSITION_BITS)
-                ),
-            )
-        )
-        hashed = F.xxhash64(F.transform(by_place, lambda y: y.bitwiseAND(F.lit((1 << HASH_BITS) - 1))))
+        places = F.sort_array(F.transform(mine, lambda y: y.bitwiseAND(F.lit(POSITION_MASK)).cast("int")))
+        hashed = F.xxhash64(F.transform(places, lambda p: F.get(hashes, p)))
         return F.shiftleft(F.shiftright(head, tail), 64 - entry_bits - 1).bitwiseOR(
             F.shiftrightunsigned(hashed, entry_bits + 1)
         )
@@ -87,7 +109,7 @@ def _entries(kmers: Column, entry_bits: int, order: int) -> Column:
         )
         return F.transform(heads, lambda i: tuple_of(kept, i))
 
-    return let(F.filter(kmers, is_kept), signature)
+    return let(F.filter(draws, is_kept), signature)
 
 
 def order_minhash(text: Column, k: int = 2, entry_bits: int = 5, order: int = 2) -> Column:
@@ -96,7 +118,7 @@ def order_minhash(text: Column, k: int = 2, entry_bits: int = 5, order: int = 2)
     return let(
         words,
         lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(
-            let(_kmers(w, k), lambda a: _entries(a, entry_bits, order))
+            let(_kmers(w, k), lambda h: let(_draws(h), lambda d: _entries(h, d, entry_bits, order)))
         ),
     )
 
