@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def active_days(members: DataFrame, first: str, last: str) -> DataFrame:
-    """One row per member and business day in [start_date, end_date) within the given days.
+def active_days(members: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:
+    """One row per member and business day in [start_date, end_date), within the days given, if any.
 
     Days are generated per interval, so neither a calendar nor a range join is shuffled.
     """
+    # greatest and least skip the null that a bound not given is
     lo = F.greatest("start_date", F.lit(first).cast("date"))
     hi = F.least(F.date_sub("end_date", 1), F.lit(last).cast("date"))
     days = members.withColumns({"lo": lo, "hi": hi}).filter(F.col("lo") <= F.col("hi"))

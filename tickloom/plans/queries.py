@@ -278,6 +278,14 @@ def active_days(t):
     return joins.active_days(constituents(t("orders"), t("customer")), "1995-01-01", "1995-03-31")
 
 
+@query(
+    f"""WITH {MEMBERS}, d AS (SELECT CAST(unnest(generate_series(min(start_date), max(end_date), INTERVAL 1 DAY)) AS DATE) AS day FROM members)
+SELECT symbol, index_symbol, day FROM members JOIN d ON start_date <= day AND day < end_date WHERE isodow(day) < 6"""
+)
+def active_days_whole(t):
+    return joins.active_days(constituents(t("orders"), t("customer")))
+
+
 @query(
     f"""WITH {MEMBERS} SELECT o_orderkey, o_custkey AS symbol, CAST(o_orderdate AS DATE) AS day, max(index_symbol) AS index_symbol
 FROM orders LEFT JOIN members ON symbol = o_custkey AND CAST(o_orderdate AS DATE) >= start_date AND CAST(o_orderdate AS DATE) < end_date GROUP BY ALL"""
