@@ -14,3 +14,9 @@ def test_active_days_span_all_memberships(spark):
     ).fetchall()
     wanted = sum((a.toordinal() + k - 1) % 7 < 5 for a, b in spans for k in range((b - a).days))
     assert queries.QUERIES["active_days_whole"](spark, SF).count() == wanted
+
+
+def test_pivot_holds_every_month(spark):
+    cells = duckdb.sql(f"SELECT DISTINCT year(o_orderdate), month(o_orderdate) FROM '{SF}/orders.parquet'").fetchall()
+    found = queries.QUERIES["pivot_year_all_months"](spark, SF).collect()
+    assert {(r[0], k) for r in found for k in range(1, 13) if r[k] is not None} == set(cells)

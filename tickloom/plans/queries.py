@@ -231,6 +231,16 @@ def pivot_year_month(t):
     return months.agg(F.avg("o_totalprice")).toDF("year", "jan", "feb", "mar")
 
 
+_MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+_MONTH_SQL = ", ".join(f'avg(o_totalprice) FILTER (month(o_orderdate) = {k}) AS "{m}"' for k, m in enumerate(_MONTHS, 1))
+
+
+@query(f"SELECT CAST(year(o_orderdate) AS INTEGER) AS year, {_MONTH_SQL} FROM orders GROUP BY ALL", " ".join(_MONTHS))
+def pivot_year_all_months(t):
+    dated = t("orders").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), "o_totalprice")
+    return dated.groupBy("year").pivot("month", list(range(1, 13))).agg(F.avg("o_totalprice")).toDF("year", *_MONTHS)
+
+
 def _tail_sql(days: int) -> str:
     return f"""WITH {DAILY}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS n FROM daily)
 SELECT symbol, CASE WHEN count(*) = {days} THEN last(close ORDER BY day) / first(open ORDER BY day) - 1 END AS ret,
