@@ -20,3 +20,9 @@ def test_pivot_holds_every_month(spark):
     cells = duckdb.sql(f"SELECT DISTINCT year(o_orderdate), month(o_orderdate) FROM '{SF}/orders.parquet'").fetchall()
     found = queries.QUERIES["pivot_year_all_months"](spark, SF).collect()
     assert {(r[0], k) for r in found for k in range(1, 13) if r[k] is not None} == set(cells)
+
+
+def test_all_lookbacks_and_tails_are_registered(spark):
+    found = queries.QUERIES["lookback_pct_all"](spark, SF)
+    assert found.columns == ["symbol", "ts", "pct_0", "pct_32", "pct_224", "pct_896", "pct_3584", "pct_11680"]
+    assert "tail_returns_30d" in queries.QUERIES

@@ -127,6 +127,18 @@ def lookback_pct(t):
     return features.lookback_changes(_bars(t), [0, 32, 224])
 
 
+_LOOKBACKS = [0, 32, 224, 896, 3584, 11680]
+_LOOKBACK_SQL = ", ".join(f"close / nullif(lag(open, {k}) OVER w, 0) - 1 AS pct_{k}" for k in _LOOKBACKS)
+
+
+@query(
+    f"WITH {BARS} SELECT symbol, ts, {_LOOKBACK_SQL} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)",
+    " ".join(f"pct_{k}" for k in _LOOKBACKS),
+)
+def lookback_pct_all(t):
+    return features.lookback_changes(_bars(t), _LOOKBACKS)
+
+
 @query(
     f"""WITH RECURSIVE {DAILY}, n AS (SELECT symbol, day, close, row_number() OVER (PARTITION BY symbol ORDER BY day) AS i FROM daily),
 e AS (SELECT symbol, day, close AS ewm, i FROM n WHERE i = 1
@@ -252,6 +264,11 @@ def tail_returns_7d(t):
     return aggregates.tail_returns(_daily(t), 7)
 
 
+@query(_tail_sql(30), "ret std")
+def tail_returns_30d(t):
+    return aggregates.tail_returns(_daily(t), 30)
+
+
 @query(_tail_sql(180), "ret std")
 def tail_returns_180d(t):
     return aggregates.tail_returns(_daily(t), 180)
