@@ -1,7 +1,8 @@
 """Toxicity by weak supervision: voters, a generative label model, a linear classifier.
 
-Voters say toxic, clean or nothing about a text. Pattern voters are regular expressions on
-the text; lexicon voters hold words or word beginnings that a bounded sample of labelled
+The ``LEXICONS`` lexicon voters and the pattern voters, seven in all, each say toxic (1) or not
+(0) about a text; none votes for clean, and none abstains but by that 0. Pattern voters are
+English regular expressions on the text; lexicon voters hold words or word beginnings that a bounded sample of labelled
 rows ties to the label, dealt to ``LEXICONS`` lexicons by a hash. The label model gives each
 voter its vote probabilities per class and estimates both by expectation maximisation,
 beginning from the sample's labels; voters whose votes stay correlated within the classes
