@@ -1,7 +1,9 @@
 """Encoding to pieces by unigram Viterbi over a double-array trie, and decoding.
 
 A text gets the marker U+2581 in front and for each space; of all ways to write it in pieces the one with the largest
-sum of scores is taken (ties: the longer last piece). A character that no piece covers is
+sum of scores is taken (ties: the longer last piece). The scores are the model's own: those of
+the BPE model given are merge ranks, not log probabilities, so the result is neither that
+model's BPE nor a unigram optimum by probability. A character that no piece covers is
 written as byte pieces, each at ``PENALTY`` below the lowest score. No piece holds a marker
 after another character, so a best path can be cut before every run of markers: the parts
 between are solved once each and kept in a cache of bounded size, a whole batch of new parts
