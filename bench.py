@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from tickloom.plans.queries import QUERIES
 
-HEADLINE = ["bars_30m", "daily_ohlcv", "daily_features", "grid_filled", "lookback_pct", "ewm", "describe_col", "corr_pairs", "interval_join_index", "roc_auc"]
+HEADLINE = ["bars_30m", "daily_ohlcv", "attach_features", "grid_filled", "lookback_pct", "ewm", "describe_col", "corr_pairs", "gapfill_1m", "interval_join_index", "roc_auc"]
 
 
 def main() -> None:

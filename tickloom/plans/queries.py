@@ -1,57 +1,18 @@
-"""Registered queries over the driver tables, each with the DuckDB statement it must equal."""
+"""Registered queries over the driver tables: bars, grids, daily frames, membership, metrics."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import market
 from tickloom.operators import aggregates, features, grid, joins
-from tickloom.sources.bars import constituents, event_bars, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
-BARS = f"""bars AS (
-  SELECT event_type AS symbol, time_bucket(INTERVAL 30 MINUTE, ts) AS ts,
-         first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
-         last(value ORDER BY ts, event_id) AS close, CAST(sum({_K}) AS BIGINT) AS volume, count(*) AS trade_count,
-         sum(value * {_K}) / nullif(sum({_K}), 0) AS vwap
-  FROM events WHERE ts IS NOT NULL GROUP BY ALL)"""
-DAILY = f"""{BARS}, daily AS (
-  SELECT symbol, CAST(ts AS DATE) AS day, first(open ORDER BY ts) AS open, max(high) AS high, min(low) AS low,
-         last(close ORDER BY ts) AS close, CAST(sum(volume) AS BIGINT) AS volume, CAST(sum(trade_count) AS BIGINT) AS trade_count
-  FROM bars GROUP BY ALL)"""
-MEMBERS = """members AS (
-  SELECT c_custkey AS symbol, c_mktsegment AS index_symbol, CAST(min(o_orderdate) AS DATE) AS start_date, CAST(max(o_orderdate) AS DATE) AS end_date
-  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
-
-
-def query(sql: str, rounded: str = ""):
-    """Register a plan; the double columns named in ``rounded`` are compared to 6 decimals."""
-
-    def add(plan):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            out = plan(lambda name: table(spark, sf_dir, name))
-            return out.withColumns({c: F.round(c, 6) for c in rounded.split()}) if rounded else out
+from tickloom.plans.registry import BARS, DAILY, MEMBERS, ORACLES, QUERIES, query
+from tickloom.plans.registry import bars_of as _bars
+from tickloom.plans.registry import daily_of as _daily
+from tickloom.sources.bars import constituents, event_bars
 
-        swap = ", ".join(f"round({c}, 6) AS {c}" for c in rounded.split())
-        QUERIES[plan.__name__] = run
-        ORACLES[plan.__name__] = f"SELECT * REPLACE ({swap}) FROM ({sql})" if rounded else sql
-        return plan
-
-    return add
-
-
-def _bars(t) -> DataFrame:
-    return event_bars(t("events"))
-
-
-def _daily(t) -> DataFrame:
-    return aggregates.daily_ohlcv(_bars(t))
+__all__ = ["ORACLES", "QUERIES"]
 
 
 @query(f"WITH {BARS} SELECT * FROM bars", "vwap")
@@ -61,7 +22,9 @@ def bars_30m(t):
 
 @query(f"WITH {BARS} SELECT * FROM bars WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20'", "vwap")
 def trim_dates(t):
-    return grid.trim_dates(_bars(t), "2024-01-05", "2024-01-20")
+    """The raw times are cut first, a bar wider, so that the range reaches the scan."""
+    events = grid.trim_dates(t("events"), "2024-01-05", "2024-01-20T00:30:00")
+    return grid.trim_dates(event_bars(events), "2024-01-05", "2024-01-20")
 
 
 @query(f"WITH {BARS} SELECT symbol, min(ts) AS first_ts, max(ts) AS last_ts FROM bars GROUP BY symbol")
@@ -99,46 +62,6 @@ def daily_ohlcv(t):
     return _daily(t)
 
 
-@query(
-    f"""WITH {DAILY}, moved AS (
-  SELECT *, close / nullif(lag(close) OVER d, 0) - 1 AS ret, lag(close) OVER d AS prior FROM daily WINDOW d AS (PARTITION BY symbol ORDER BY day))
-SELECT symbol, day, ret, lag(ret) OVER d AS prev_ret,
-  CASE WHEN count(ret) OVER w5 = 5 THEN stddev_samp(ret) OVER w5 END AS std5,
-  volume / nullif(CASE WHEN count(volume) OVER p20 = 20 THEN avg(volume) OVER p20 END, 0) AS rvol20,
-  open / nullif(prior, 0) - 1 AS gap,
-  close / nullif(CASE WHEN count(high) OVER p20 = 20 THEN max(high) OVER p20 END, 0) - 1 AS dist_max20,
-  coalesce((high - greatest(open, close)) / nullif(high - low, 0), 0) AS upper_wick,
-  coalesce((least(open, close) - low) / nullif(high - low, 0), 0) AS lower_wick,
-  (ret - CASE WHEN count(ret) OVER w20 = 20 THEN avg(ret) OVER w20 END) / nullif(stddev_samp(ret) OVER w20, 0) AS z20
-FROM moved WINDOW d AS (PARTITION BY symbol ORDER BY day), w5 AS (PARTITION BY symbol ORDER BY day ROWS 4 PRECEDING),
-  w20 AS (PARTITION BY symbol ORDER BY day ROWS 19 PRECEDING), p20 AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""",
-    "ret prev_ret std5 rvol20 gap dist_max20 upper_wick lower_wick z20",
-)
-def daily_features(t):
-    return features.daily_features(_daily(t))
-
-
-@query(
-    f"""WITH {BARS} SELECT symbol, ts, close / nullif(lag(open, 0) OVER w, 0) - 1 AS pct_0, close / nullif(lag(open, 32) OVER w, 0) - 1 AS pct_32,
-  close / nullif(lag(open, 224) OVER w, 0) - 1 AS pct_224 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)""",
-    "pct_0 pct_32 pct_224",
-)
-def lookback_pct(t):
-    return features.lookback_changes(_bars(t), [0, 32, 224])
-
-
-_LOOKBACKS = [0, 32, 224, 896, 3584, 11680]
-_LOOKBACK_SQL = ", ".join(f"close / nullif(lag(open, {k}) OVER w, 0) - 1 AS pct_{k}" for k in _LOOKBACKS)
-
-
-@query(
-    f"WITH {BARS} SELECT symbol, ts, {_LOOKBACK_SQL} FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)",
-    " ".join(f"pct_{k}" for k in _LOOKBACKS),
-)
-def lookback_pct_all(t):
-    return features.lookback_changes(_bars(t), _LOOKBACKS)
-
-
 @query(
     f"""WITH RECURSIVE {DAILY}, n AS (SELECT symbol, day, close, row_number() OVER (PARTITION BY symbol ORDER BY day) AS i FROM daily),
 e AS (SELECT symbol, day, close AS ewm, i FROM n WHERE i = 1
@@ -147,7 +70,7 @@ SELECT symbol, day, ewm FROM e""",
     "ewm",
 )
 def ewm(t):
-    return features.smoothed(_daily(t), 0.1)
+    return features.smoothed(_daily(t), {"ewm": 0.1}, "close", "day")
 
 
 _PRE = "hour(ts) * 60 + minute(ts) >= 240 AND hour(ts) * 60 + minute(ts) < 570"
@@ -176,15 +99,6 @@ def weekdays_only(t):
     return _bars(t).filter(F.weekday("ts") < 5).select("symbol", "ts", "close")
 
 
-@query(
-    f"WITH {DAILY} SELECT symbol, day, sin((isodow(day) - 1) * 2 * pi() / 7) AS weekday_sin, cos((isodow(day) - 1) * 2 * pi() / 7) AS weekday_cos FROM daily",
-    "weekday_sin weekday_cos",
-)
-def weekday_angles(t):
-    sine, cosine = market.weekday_angle(F.col("day"))
-    return _daily(t).select("symbol", "day", sine.alias("weekday_sin"), cosine.alias("weekday_cos"))
-
-
 @query("SELECT DISTINCT event_type AS symbol FROM events")
 def distinct_symbols(t):
     return t("events").select(F.col("event_type").alias("symbol")).distinct()
@@ -192,7 +106,8 @@ def distinct_symbols(t):
 
 @query("SELECT event_type AS symbol, count(*) AS n FROM events GROUP BY ALL")
 def value_counts(t):
-    return t("events").groupBy(F.col("event_type").alias("symbol")).agg(F.count("*").alias("n"))
+    """Most frequent first."""
+    return t("events").groupBy(F.col("event_type").alias("symbol")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "symbol")
 
 
 @query("SELECT count(DISTINCT user_id) AS user_id, count(DISTINCT event_type) AS event_type, count(DISTINCT value) AS value FROM events")
@@ -206,14 +121,16 @@ def nunique_cols(t):
     "mean std q1 q2 q3",
 )
 def describe_col(t):
-    return t("events").groupBy(F.col("event_type").alias("symbol")).agg(
+    """The exact quartiles share one buffer of a group's distinct values and their counts."""
+    found = t("events").groupBy(F.col("event_type").alias("symbol")).agg(
         F.count("value").alias("n"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("low"),
-        *[F.percentile("value", F.lit(p)).alias(f"q{k}") for k, p in ((1, 0.25), (2, 0.5), (3, 0.75))],
+        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
         F.max("value").alias("high"),
     )
+    return found.select("symbol", "n", "mean", "std", "low", *[F.col("q")[k].alias(f"q{k + 1}") for k in range(3)], "high")
 
 
 @query(
@@ -232,53 +149,18 @@ def median_by_weekday(t):
     return _daily(t).groupBy(F.weekday("day").alias("weekday")).agg(F.percentile("volume", F.lit(0.5)).alias("volume"))
 
 
-@query(
-    """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, avg(o_totalprice) FILTER (month(o_orderdate) = 1) AS jan,
-  avg(o_totalprice) FILTER (month(o_orderdate) = 2) AS feb, avg(o_totalprice) FILTER (month(o_orderdate) = 3) AS mar FROM orders GROUP BY ALL""",
-    "jan feb mar",
-)
-def pivot_year_month(t):
-    dated = t("orders").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), "o_totalprice")
-    months = dated.groupBy("year").pivot("month", [1, 2, 3])
-    return months.agg(F.avg("o_totalprice")).toDF("year", "jan", "feb", "mar")
-
-
 _MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 _MONTH_SQL = ", ".join(f'avg(o_totalprice) FILTER (month(o_orderdate) = {k}) AS "{m}"' for k, m in enumerate(_MONTHS, 1))
 
 
 @query(f"SELECT CAST(year(o_orderdate) AS INTEGER) AS year, {_MONTH_SQL} FROM orders GROUP BY ALL", " ".join(_MONTHS))
-def pivot_year_all_months(t):
+def pivot_year_month(t):
     dated = t("orders").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), "o_totalprice")
     return dated.groupBy("year").pivot("month", list(range(1, 13))).agg(F.avg("o_totalprice")).toDF("year", *_MONTHS)
 
 
-def _tail_sql(days: int) -> str:
-    return f"""WITH {DAILY}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day DESC) AS n FROM daily)
-SELECT symbol, CASE WHEN count(*) = {days} THEN last(close ORDER BY day) / first(open ORDER BY day) - 1 END AS ret,
-  CASE WHEN count(*) = {days} THEN stddev_samp(close) / first(open ORDER BY day) END AS std FROM r WHERE n <= {days} GROUP BY symbol"""
-
-
-@query(_tail_sql(7), "ret std")
-def tail_returns_7d(t):
-    return aggregates.tail_returns(_daily(t), 7)
-
-
-@query(_tail_sql(30), "ret std")
-def tail_returns_30d(t):
-    return aggregates.tail_returns(_daily(t), 30)
-
-
-@query(_tail_sql(180), "ret std")
-def tail_returns_180d(t):
-    return aggregates.tail_returns(_daily(t), 180)
-
-
-@query(f"WITH {BARS} SELECT symbol, bool_and(volume * vwap BETWEEN 0 AND 1e12) AS inside, count(*) FILTER (close > 50) AS above FROM bars GROUP BY symbol")
-def screener_counts(t):
-    return _bars(t).groupBy("symbol").agg(
-        F.every((F.col("volume") * F.col("vwap")).between(0, 1e12)).alias("inside"), F.count_if(F.col("close") > 50).alias("above")
-    )
+# the name of an earlier version, whose pivot_year_month had three of the twelve
+QUERIES["pivot_year_all_months"], ORACLES["pivot_year_all_months"] = QUERIES["pivot_year_month"], ORACLES["pivot_year_month"]
 
 
 @query(f"WITH {DAILY} SELECT * EXCLUDE n FROM (SELECT symbol, day, close, row_number() OVER (PARTITION BY symbol ORDER BY day) AS n FROM daily) WHERE n > 5")
@@ -314,8 +196,8 @@ def active_days_whole(t):
 
 
 @query(
-    f"""WITH {MEMBERS} SELECT o_orderkey, o_custkey AS symbol, CAST(o_orderdate AS DATE) AS day, max(index_symbol) AS index_symbol
-FROM orders LEFT JOIN members ON symbol = o_custkey AND CAST(o_orderdate AS DATE) >= start_date AND CAST(o_orderdate AS DATE) < end_date GROUP BY ALL"""
+    f"""WITH {MEMBERS} SELECT o_orderkey, o_custkey AS symbol, CAST(o_orderdate AS DATE) AS day,
+  (SELECT arg_max(index_symbol, end_date) FROM members WHERE symbol = o_custkey AND CAST(o_orderdate AS DATE) >= start_date AND CAST(o_orderdate AS DATE) < end_date) AS index_symbol FROM orders"""
 )
 def interval_join_index(t):
     rows = t("orders").select("o_orderkey", F.col("o_custkey").alias("symbol"), F.col("o_orderdate").cast("date").alias("day"))
@@ -327,9 +209,11 @@ def semi_members(t):
     return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_existing(t):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers without an urgent order; there are some at every size."""
+    urgent = t("orders").filter("o_orderpriority = '1-URGENT'")
+    return t("customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query(f"WITH {DAILY} SELECT symbol, last(day ORDER BY close, day) AS day, max(close) AS close FROM daily GROUP BY symbol")
@@ -358,7 +242,7 @@ def _ml(t) -> DataFrame:
     "precision recall f1",
 )
 def class_metrics(t):
-    return aggregates.class_metrics(_ml(t), "y", "p", "source")
+    return aggregates.class_metrics(_ml(t), "y", "p", ["source"])
 
 
 @query(
@@ -367,4 +251,8 @@ SELECT source, coalesce((sum(CASE WHEN y = 1 THEN rank END) - sum(y) * (sum(y) +
     "auc",
 )
 def roc_auc(t):
-    return aggregates.roc_auc(_ml(t), "y", "score", "source")
+    return aggregates.roc_auc(_ml(t), "y", "score", ["source"])
+
+
+# the other modules register their queries in the same tables
+from tickloom.plans import feature_queries, frame_queries, grid_queries, model_queries, screener_queries  # noqa: E402, F401
