@@ -23,8 +23,9 @@ Set and class hashes have 64 bits. Buckets are aggregated by partial aggregation
 never collected; a bucket larger than a block is compared block by block.
 
 Defined results: null or empty text, or no words: size 0, linked with nothing, its own
-component; equal rows are one class; a null key stays null as component unless linked; keys
-may repeat; an empty table gives an empty result.
+component; equal rows are one class; a group's least key is the least that is not null, so a null key
+is kept only where no other key is in its group, and is its component then; all rows that hold the
+least key are kept; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
-from tickloom.llm.shared import checkpointed
+from tickloom.llm.shared import bit_filter, checkpointed, has_bit, place_of
 from tickloom.llm.textkit import LOWER, Texts, map_arrow, mix, slices, window_hashes, word_hashes, words_of
 
 REGISTER_BITS = 7
@@ -49,7 +50,6 @@ ROWS = 4
 BANDS = REGISTERS // ROWS
 BLOCK = 2000
 BLOCK_SHINGLES = 4_000_000
-FILTER_BITS = 1 << 26
 #: chance that two independent registers agree: a mantissa cell is this share of its place
 COLLISION = 1 / (8 * math.log(2))
 
@@ -159,26 +159,16 @@ def profiles(documents: DataFrame, key: str, text: str, shingle: int) -> DataFra
 def sets_of(documents: DataFrame, classes: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     """(class, shingles) of the given classes, from the texts of their first documents.
 
-    Which documents those are reaches the tasks as a bit filter of ``FILTER_BITS`` bits, so no
+    Which documents those are reaches the tasks as a bit filter, so no
     text is shuffled; what the filter lets through by mistake is dropped by later joins.
     """
 
-    def place(of: str):
-        return F.pmod(F.xxhash64(F.coalesce(F.col(of), F.lit(0))), F.lit(FILTER_BITS)) + 1
-
-    spots = classes.select(place("first").alias("place")).groupBy(F.expr("bitmap_bucket_number(place)").alias("part"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in spots.agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits")).collect():
-        at = (row["part"] - 1) * 4096
-        bits[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
-    shared = documents.sparkSession.sparkContext.broadcast(bits)
+    shared = bit_filter(classes.select(place_of(F.col("first")).alias("place")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = shared.value
         for batch in batches:
-            spot = batch.column(0).to_numpy() - 1
-            wanted = (have[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1
-            for _, texts in slices([batch.filter(pa.array(wanted.astype(bool)))], "text"):
+            wanted = batch.filter(pa.array(has_bit(shared.value, batch.column(0)))) if batch.num_rows else batch
+            for _, texts in slices([wanted], "text"):
                 found = [s for s in shingle_sets(texts, shingle) if len(s)]
                 if found:
                     yield pa.RecordBatch.from_arrays(
@@ -189,7 +179,7 @@ def sets_of(documents: DataFrame, classes: DataFrame, key: str, text: str, shing
                         ["class", "shingles"],
                     )
 
-    rows = documents.select(place(key).alias("place"), F.col(text).alias("text"))
+    rows = documents.select(place_of(F.col(key)).alias("place"), F.col(text).alias("text"))
     return map_arrow(rows, work, "class long, shingles array<long>")
 
 
@@ -344,5 +334,5 @@ def near_duplicates(
         F.col("key").alias(key),
         F.col("n").alias("n_shingles"),
         F.coalesce("least", "key").alias("component_id"),
-        F.coalesce(F.coalesce("least", "key") == F.col("key"), F.lit(True)).alias("kept"),
+        F.coalesce("least", "key").eqNullSafe(F.col("key")).alias("kept"),
     )

@@ -1,30 +1,38 @@
 """Exact removal of repeated word windows, behind a count-min prefilter.
 
 A window is ``size`` consecutive words of one text. A word goes if a window covering it also
-starts in a document with a smaller key; windows are judged on the input.
-
-1. Sketch. Every window belongs to an *anchor*: the least hash among its shorter windows of
-   ``ANCHOR`` words. Neighbouring windows mostly share it, so a text is a sequence of runs, of
-   about 18 windows each, and equal windows have equal anchors wherever they stand. Each
-   partition puts the anchors of its runs into a count-min sketch (``DEPTH`` rows); the
-   partition sketches are added cell by cell. A window's estimate is its anchor's least cell,
-   which is never below the number of documents that hold the window.
-2. Only runs estimated to be repeated go on, with the hashes of their windows. Runs of equal
-   content are grouped first, which settles the inside of copied passages: all documents but
-   the first lose the whole run. Where an anchor has runs of different content (the edges of
-   a copied passage), single windows are grouped exactly.
+starts in a row with a smaller key; windows are judged on the input.
+
+1. Sketch. Every window is counted in a count-min sketch. ``ANCHOR_ROWS`` of its rows are addressed
+   by the window's *anchor*, the least hash among its shorter windows of ``ANCHOR`` words, counted
+   once for each run of neighbours that share it; the other ``WINDOW_ROWS`` are addressed by
+   the window itself. Each task counts its texts, a part of ``CHUNK`` windows at a time, and
+   sends the cells as sorted differences; the partial sketches are added cell by cell, up to 2,
+   which is all that is asked of them. The least cell of a window is never below the number
+   of rows that hold it.
+2. Only windows estimated to be repeated go on, written as runs: neighbours in one text that
+   share their anchor. Runs of equal content are grouped first, which settles nearly all:
+   all rows but the first lose the whole run. Where an anchor has runs of different content,
+   the windows of one row per content are hashed again and grouped exactly.
+3. Texts that lose nothing never move. The others, chosen by a bit filter, are shuffled once
+   to meet the list of their removed runs.
 
 Windows are compared by 128 bits: the anchor's hash and the window's.
 
-Scale. The sketch's width follows the input's bytes between 2^16 and ``MAX_CELLS`` cells a row;
-what is broadcast is one bit a cell (3 x 32 MB at most). Beyond about 10 GB of text per
-``MAX_CELLS`` more windows pass the filter than need to, none are lost. All groupings are
-partial aggregations and joins, which one repeated passage cannot pile up in one task
-beyond a row per map task; text is shuffled once, to meet the list of its removed runs.
+Scale. What is broadcast is bounded: the sketch's width follows the number of windows up to
+``MAX_CELLS`` a row (80 MB of bits in all) and a filter has 8 MB. From some gigabytes of text on
+a window cell, and 18 times later an anchor cell, is shared with others, so more windows go
+on than need to and none is lost; with a full sketch all runs are grouped, about 40 bytes for
+18 words. All groupings are partial aggregations, so a passage that many rows share is one
+row per task; the joins back to the rows have no group to collect and adaptive execution
+splits a hot key. Between the steps, tables are written to the shared folder and deleted when
+used up; what a lost executor held is computed again from them.
 
 Defined results: null and empty texts have no words; a text of fewer than ``size`` words
-loses nothing; repetition inside one document, or between rows of one key, removes nothing;
-a null key is larger than every other key; repeated rows are each judged alike.
+loses nothing; repetition inside one row, or between rows of one key, removes nothing; a null
+key is larger than every other key, and null keys are one key; repeated rows are each judged
+alike; an empty table gives an empty result; extra columns are not read, or carried along as
+they are.
 """
 
 from __future__ import annotations
@@ -36,24 +44,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import checkpointed
+from tickloom.llm.shared import FILTER_BITS, Scratch, bit_filter, has_bit, place_of, sieved, small_batches
 from tickloom.llm.textkit import map_arrow, mix, sliding_min, slices, window_hashes, word_hashes, words_of
 
 ANCHOR = 16
 LONGEST_RUN = 32
-DEPTH = 3
+#: rows of the sketch that anchors and that windows address
+ANCHOR_ROWS, WINDOW_ROWS = 2, 2
+ROWS = ANCHOR_ROWS + WINDOW_ROWS
+CHUNK = 1 << 21
 SLICE_CELLS = 1 << 20
-MIN_CELLS, MAX_CELLS = 1 << 16, 1 << 28
-BYTES_PER_RUN = 100
+SLICE_TEXT = 1 << 19
+MIN_CELLS, MAX_CELLS = 1 << 23, 1 << 28
+BYTES_PER_WINDOW = 7
 LAST_KEY = 2**63 - 1
 
 
-def runs_of(texts, size: int):
-    """Of all texts together: (text index, first window, windows, anchor, run hash) per run, the
-    window hashes, and where each run's windows begin in them. Windows count from 0 in a text.
-
-    A run is at most ``LONGEST_RUN`` neighbouring windows with one anchor.
-    """
+def windows_of(texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of some texts, in order: (text index, place in the text, window hash, anchor)."""
     words = words_of(texts)
     hashes = word_hashes(texts.data, words)
     window = window_hashes(hashes, size)
@@ -61,144 +69,221 @@ def runs_of(texts, size: int):
     anchor = sliding_min(window_hashes(hashes, short), size - short + 1)
     n = np.maximum(np.diff(words.at) - size + 1, 0)
     text = np.repeat(np.arange(texts.n), n)
-    first = np.concatenate(([0], np.cumsum(n)))[:-1]
-    inside = np.arange(int(n.sum()), dtype=np.int64) - first[text]
-    at = words.at[:-1][text] + inside
-    window, anchor = window[at], anchor[at]
-    if not len(at):
-        none = np.zeros(0, np.int64)
-        return none, none, none, anchor, window, window, none
-    begins = np.ones(len(at), dtype=bool)
-    begins[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
-    head = np.flatnonzero(begins)
-    since = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
-    begins |= since % LONGEST_RUN == 0
+    place = np.arange(len(text), dtype=np.int64) - np.concatenate(([0], np.cumsum(n)))[:-1][text]
+    at = words.at[:-1][text] + place
+    return text, place, window[at], anchor[at]
+
+
+def runs_of(text: np.ndarray, place: np.ndarray, window: np.ndarray, anchor: np.ndarray):
+    """(head, length, run hash): runs of neighbouring windows with one anchor, ``LONGEST_RUN`` at most."""
+    if not len(text):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), window
+    begins = np.ones(len(text), dtype=bool)
+    begins[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)
     head = np.flatnonzero(begins)
-    length = np.diff(np.append(head, len(at)))
-    place = (np.arange(len(at)) - np.repeat(head, length)).astype(np.uint64)
-    run = mix(np.add.reduceat(mix(window + place), head) + length.astype(np.uint64))
-    return text[head], inside[head], length, anchor[head], run, window, head
+    since = np.arange(len(text)) - np.repeat(head, np.diff(np.append(head, len(text))))
+    head = np.flatnonzero(since % LONGEST_RUN == 0)
+    length = np.diff(np.append(head, len(text)))
+    nth = (np.arange(len(text)) - np.repeat(head, length)).astype(np.uint64)
+    return head, length, mix(np.add.reduceat(mix(window + nth), head) + length.astype(np.uint64))
 
 
-def _cells(anchor: np.ndarray, width: int) -> np.ndarray:
-    """The cells of each anchor: one per row of the sketch, numbered over all rows."""
-    rows = [mix(anchor + np.uint64(2 * r + 1)) & np.uint64(width - 1) for r in range(DEPTH)]
-    return np.stack([row + np.uint64(r * width) for r, row in enumerate(rows)])
+def _row_width(row: int, width: int) -> int:
+    """Anchors are a fraction of the windows: their rows have a quarter of the cells."""
+    return width // 4 if row < ANCHOR_ROWS else width
+
+
+def _first_part(row: int, width: int) -> int:
+    """The number of the first part, of ``SLICE_CELLS`` cells, of a row; ``ROWS`` gives their count."""
+    return sum(_row_width(r, width) for r in range(row)) // SLICE_CELLS
+
+
+def _cells(values: np.ndarray, row: int, width: int) -> np.ndarray:
+    """The cells of a sketch row that is addressed by these hashes, as uint32."""
+    mask = np.uint64(_row_width(row, width) - 1)
+    out = np.empty(len(values), np.uint32)
+    for at in range(0, len(values), 1 << 17):  # small temporaries
+        out[at : at + (1 << 17)] = mix(values[at : at + (1 << 17)] + np.uint64(2 * row + 1)) & mask
+    return out
 
 
 def sketch_width(total_bytes: int) -> int:
-    wanted = 4 * total_bytes // BYTES_PER_RUN
-    return min(max(1 << max(wanted, 1).bit_length(), MIN_CELLS), MAX_CELLS)
+    wanted = 3 * total_bytes // BYTES_PER_WINDOW
+    return min(max(1 << max(wanted - 1, 1).bit_length(), MIN_CELLS), MAX_CELLS)
+
+
+def packed_steps(values: np.ndarray) -> bytes:
+    """Increasing numbers as bytes: each difference as a run of 255s and its remainder."""
+    steps = np.diff(values, prepend=0)
+    ends = np.cumsum(steps // 255 + 1) - 1
+    out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 255, np.uint8)
+    out[ends] = steps % 255
+    return out.tobytes()
+
+
+def unpacked_steps(raw: bytes) -> np.ndarray:
+    steps = np.frombuffer(raw, np.uint8)
+    return np.cumsum(steps, dtype=np.int64)[steps != 255]
 
 
 def repeated_cells(documents: DataFrame, text: str, size: int, width: int) -> np.ndarray:
-    """The merged sketch as a bitmap: a bit per cell, set if its count is 2 or more."""
+    """The merged sketch as a bitmap: a bit per cell, set if its count is 2 or more.
+
+    The first ``ANCHOR_ROWS`` rows count the runs of each anchor, the others count windows.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [np.zeros(0, np.uint64)]
-        for _, texts in slices(batches, "text"):
-            anchor = runs_of(texts, size)[3]
-            if len(anchor):
-                found.append(_cells(anchor, width).ravel())
-        cells, count = np.unique(np.concatenate(found), return_counts=True)
-        part = (cells // np.uint64(SLICE_CELLS)).astype(np.int64)
-        local = (cells % np.uint64(SLICE_CELLS)).astype(np.uint32) | ((count > 1).astype(np.uint32) << np.uint32(31))
-        edge = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-        if len(part):
+        held, waiting = [], 0
+        for _, texts in slices(batches, "text", SLICE_TEXT):
+            where, place, window, anchor = windows_of(texts, size)
+            if len(where):
+                first = np.ones(len(where), bool)
+                first[1:] = (anchor[1:] != anchor[:-1]) | (where[1:] != where[:-1])
+                held.append((anchor[first], window))
+                waiting += len(window)
+            if waiting >= CHUNK:
+                yield from counted(held)
+                held, waiting = [], 0
+        if held:
+            yield from counted(held)
+
+    def counted(held) -> Iterator[pa.RecordBatch]:
+        for row in range(ROWS):
+            cells = np.concatenate([_cells(pair[row >= ANCHOR_ROWS], row, width) for pair in held])
+            cells.sort()
+            again = np.zeros(len(cells), bool)
+            again[1:] = cells[1:] == cells[:-1]
+            once, twice = cells[~again], np.unique(cells[again])
+            edge = np.arange(0, _row_width(row, width) + 1, SLICE_CELLS)
+            once_at, twice_at = np.searchsorted(once, edge), np.searchsorted(twice, edge)
+            found = np.flatnonzero(np.diff(once_at))
+
+            def local(x: np.ndarray) -> bytes:
+                return packed_steps((x & np.uint32(SLICE_CELLS - 1)).astype(np.int64))
+
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part[edge[:-1]]), pa.array([local[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())],
-                ["part", "cells"],
+                [
+                    pa.array(found + _first_part(row, width)),
+                    pa.array([local(once[once_at[p] : once_at[p + 1]]) for p in found], pa.binary()),
+                    pa.array([local(twice[twice_at[p] : twice_at[p + 1]]) for p in found], pa.binary()),
+                ],
+                ["part", "once", "twice"],
             )
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                local = np.frombuffer(raw, np.uint32)
+            for part, once, twice in zip(*(c.to_pylist() for c in batch.columns)):
                 seen = counts.setdefault(part, np.zeros(SLICE_CELLS, np.uint8))
-                cell = local & np.uint32(0x7FFFFFFF)
-                seen[cell] = np.minimum(seen[cell] + 1 + (local >> np.uint32(31)), 2)
+                for raw in (once, twice):
+                    cell = unpacked_steps(raw)
+                    seen[cell] = np.minimum(seen[cell] + 1, 2)
         for part, seen in counts.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part]), pa.array([np.packbits(seen > 1).tobytes()], pa.binary())], ["part", "bits"]
             )
 
-    schema = "part long, cells binary"
-    sketches = map_arrow(documents.select(F.col(text).alias("text")), partial, schema)
-    n_parts = -(-DEPTH * width // SLICE_CELLS)
+    sketches = map_arrow(documents.select(F.col(text).alias("text")), partial, "part long, once binary, twice binary")
+    n_parts = _first_part(ROWS, width)
     merged = map_arrow(sketches.repartition(min(n_parts, 256), "part"), merge, "part long, bits binary")
     bitmap = np.zeros(n_parts * SLICE_CELLS // 8, np.uint8)
-    for row in merged.collect():  # at most DEPTH * MAX_CELLS / 8 bytes
-        at = row["part"] * SLICE_CELLS // 8
-        bitmap[at : at + SLICE_CELLS // 8] = np.frombuffer(row["bits"], np.uint8)
+    found = merged.toArrow()  # 2.5 * MAX_CELLS bits at most, 80 MB
+    for part, bits in zip(found["part"], found["bits"]):
+        at = part.as_py() * SLICE_CELLS // 8
+        bitmap[at : at + SLICE_CELLS // 8] = np.frombuffer(bits.as_buffer(), np.uint8)
     return bitmap
 
 
-def candidate_runs(documents: DataFrame, size: int, width: int, bitmap) -> DataFrame:
-    """The runs whose anchor is estimated to occur at least twice. ``documents``: key, tag, text."""
+def _is_repeated(bitmap: bytes, window: np.ndarray, anchor: np.ndarray, width: int) -> np.ndarray:
+    """Of each window: is its estimate 2 or more?"""
+    bits = np.frombuffer(bitmap, np.uint8)
+    alive = np.arange(len(window))
+    for row in range(ROWS):
+        cell = _cells((window if row >= ANCHOR_ROWS else anchor)[alive], row, width)
+        spot = (cell >> np.uint32(3)).astype(np.int64) + _first_part(row, width) * (SLICE_CELLS // 8)
+        alive = alive[((bits[spot] >> (np.uint8(7) - (cell & np.uint32(7)).astype(np.uint8))) & 1).astype(bool)]
+    kept = np.zeros(len(window), bool)
+    kept[alive] = True
+    return kept
+
+
+def _anchor_place(anchor: np.ndarray) -> pa.Array:
+    return pa.array((anchor & np.uint64(FILTER_BITS - 1)).astype(np.int64) + 1)
+
+
+def candidate_runs(rows: DataFrame, size: int, width: int, bitmap) -> DataFrame:
+    """The runs of windows that are estimated to be repeated. ``rows``: key, tag, text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
-        for batch, texts in slices(batches, "text"):
-            text, first, length, anchor, run, window, head = runs_of(texts, size)
-            if not len(text):
-                continue
-            cells = _cells(anchor, width)
-            kept = ((bits[cells >> np.uint64(3)] >> (np.uint8(7) - (cells & np.uint64(7)).astype(np.uint8))) & 1).all(axis=0)
-            if not kept.any():
-                continue
-            chosen = np.repeat(kept, length)
-            offsets = np.concatenate(([0], np.cumsum(length[kept]))).astype(np.int32)
-            rows = pa.array(text[kept])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(rows),
-                    batch.column(1).take(rows),
-                    pa.array(first[kept].astype(np.int32)),
-                    pa.array(anchor[kept].view(np.int64)),
-                    pa.array(run[kept].view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(window[chosen].view(np.int64))),
-                ],
-                ["key", "tag", "at", "anchor", "run", "windows"],
-            )
+        for part, texts in slices(batches, "text", SLICE_TEXT):
+            text, place, window, anchor = windows_of(texts, size)
+            kept = _is_repeated(bitmap.value, window, anchor, width)
+            text, place, window, anchor = text[kept], place[kept], window[kept], anchor[kept]
+            head, length, run = runs_of(text, place, window, anchor)
+            if len(head):
+                at = pa.array(text[head])
+                found = [place[head].astype(np.int32), length.astype(np.int32), anchor[head].view(np.int64), run.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), *map(pa.array, found)], names)
 
-    return map_arrow(documents, work, "key long, tag long, at int, anchor long, run long, windows array<long>")
+    kind = rows.schema["key"].dataType.simpleString()
+    names = ["key", "tag", "at", "n", "anchor", "run"]
+    return map_arrow(rows, work, f"key {kind}, tag long, at int, n int, anchor long, run long")
 
 
-def removed_runs(runs: DataFrame) -> DataFrame:
+def windows_of_runs(rows: DataFrame, size: int, width: int, bitmap, keys, anchors) -> DataFrame:
+    """(key, anchor, run, windows) of the candidate runs that pass two bit filters, of keys and of
+    anchors. ``rows``: key, text, place of the key."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.filter(pa.array(has_bit(keys.value, batch.column(2)))) if batch.num_rows else batch
+            for part, texts in slices([wanted], "text", SLICE_TEXT):
+                text, place, window, anchor = windows_of(texts, size)
+                kept = _is_repeated(bitmap.value, window, anchor, width)
+                text, place, window, anchor = text[kept], place[kept], window[kept], anchor[kept]
+                head, length, run = runs_of(text, place, window, anchor)
+                if not len(head):
+                    continue
+                ends = np.concatenate(([0], np.cumsum(length))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(window.view(np.int64)))
+                found = [pa.array(anchor[head].view(np.int64)), pa.array(run.view(np.int64)), lists]
+                whole = pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text[head])), *found], names)
+                yield whole.filter(pa.array(has_bit(anchors.value, _anchor_place(anchor[head]))))
+
+    kind = rows.schema["key"].dataType.simpleString()
+    names = ["key", "anchor", "run", "windows"]
+    return map_arrow(rows, work, f"key {kind}, anchor long, run long, windows array<long>")
+
+
+def removed_runs(rows: DataFrame, runs: DataFrame, size: int, width: int, bitmap, scratch: Scratch) -> DataFrame:
     """(key, tag, at, mask): bit i of mask is set if window ``at + i`` also starts under a smaller key."""
-    contents = checkpointed(
-        runs.groupBy("anchor", "run").agg(
-            F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.first("windows").alias("windows")
-        )
+    contents = scratch.write(
+        runs.groupBy("anchor", "run").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.first("n").alias("n")),
+        "contents",
     )
     # anchors with runs of different content, under different keys: single windows decide
-    mixed = (
-        contents.groupBy("anchor")
-        .agg(F.min("first_key").alias("low"), F.max("first_key").alias("high"), F.count("*").alias("n"))
-        .filter("n > 1 and low < high")
-        .select("anchor")
-    )
-    single = contents.join(mixed, "anchor", "left_semi").select(
-        "anchor", "run", "first_key", F.posexplode("windows").alias("place", "window")
-    )
-    least = single.groupBy("anchor", "window").agg(F.min("first_key").alias("least")).alias("l")
+    mixed = contents.groupBy("anchor").agg(F.min("first_key").alias("low"), F.max("first_key").alias("high"), F.count("*").alias("n"))
+    mixed = mixed.filter("n > 1 and low < high").select("anchor")
+    unclear = scratch.write(contents.join(mixed, "anchor", "left_semi").select("anchor", "run", "first_key"), "unclear")
+    keys = bit_filter(unclear.select(place_of(F.col("first_key")).alias("place")))
+    anchors = bit_filter(unclear.select((F.pmod("anchor", F.lit(FILTER_BITS)) + 1).alias("place")))
+    known = windows_of_runs(rows.select("key", "text", place_of(F.col("key")).alias("place")), size, width, bitmap, keys, anchors)
+    # what the filters let through besides is true as well, and drops out at the join with the verdicts
+    single = scratch.write(known.select("key", "anchor", "run", F.posexplode("windows").alias("place", "window")), "single")
+    least = single.groupBy("anchor", "window").agg(F.min("key").alias("least"))
     masks = (
         single.join(least, ["anchor", "window"])
-        .filter("least < first_key")
+        .groupBy("anchor", "run", "place")
+        .agg(F.min("key").alias("own"), F.min("least").alias("least"))
+        .filter("least < own")
         .groupBy("anchor", "run")
         .agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
     )
-    verdicts = (
-        contents.select("anchor", "run", "first_key", "last_key", F.size("windows").alias("n"))
-        .join(masks, ["anchor", "run"], "left")
-        .filter("last_key > first_key or mask is not null")
-        .drop("last_key")
-    )
+    verdicts = contents.join(masks, ["anchor", "run"], "left").filter("last_key > first_key or mask is not null")
+    verdicts = verdicts.select("anchor", "run", "first_key", "mask")
     whole = F.expr("shiftleft(1L, n) - 1")
     return (
-        runs.drop("windows")
-        .join(verdicts, ["anchor", "run"])
+        runs.join(verdicts, ["anchor", "run"])
         .select("key", "tag", "at", F.when(F.col("key") > F.col("first_key"), whole).otherwise(F.col("mask")).alias("mask"))
         .filter("mask is not null")
     )
@@ -208,36 +293,41 @@ def remove_repeats(
     documents: DataFrame, key: str = "doc_id", text: str = "text", size: int = 50, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Per input row: the key, n_words, n_removed, kept (the kept words joined by one space) and
-    ``row``, a struct of the columns that ``carry`` names, if any."""
+    ``row``, a struct of the columns that ``carry`` names, if any. The key is a whole number, or
+    a struct that is never null."""
+    kind = documents.schema[key].dataType.simpleString()
     held = [F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry) if c != text]
     names = ["text" if c == text else f"_carry{i}" for i, c in enumerate(carry)]
-    rows = documents.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY)).alias("key"),
-        F.col(key).alias("_key"),
-        F.col(text).alias("text"),
-        *held,
-    ).withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
+    order = F.col(key) if kind.startswith("struct") else F.coalesce(F.col(key).cast("long"), F.lit(LAST_KEY))
+    rows = documents.select(order.alias("key"), F.col(key).alias("_key"), F.col(text).alias("text"), *held)
+    rows = rows.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = sketch_width(total)
     spark = documents.sparkSession
-    bitmap = spark.sparkContext.broadcast(repeated_cells(rows, "text", size, width))
-    runs = candidate_runs(rows.select("key", "tag", "text"), size, width, bitmap)
-    lists = (
-        removed_runs(runs)
-        .groupBy("key", "tag")
-        .agg(F.collect_set(F.struct("at", "mask")).alias("gone"))
-        .select("key", "tag", F.col("gone.at").alias("at"), F.col("gone.mask").alias("mask"))
-    )
-    joined = rows.join(lists, ["key", "tag"], "left").select("_key", "at", "mask", "text", *[n for n in names if n != "text"])
+    scratch = Scratch(spark, "substring-dedup")
+    with small_batches(spark):
+        # as bytes, which a worker unpickles without a second copy
+        bitmap = spark.sparkContext.broadcast(repeated_cells(rows, "text", size, width).tobytes())
+        runs = scratch.write(candidate_runs(rows.select("key", "tag", "text"), size, width, bitmap), "runs")
+        gone = removed_runs(rows, runs, size, width, bitmap, scratch)
+        lists = gone.groupBy("key", "tag").agg(F.collect_set(F.struct("at", "mask")).alias("gone"))
+        lists = scratch.write(lists.select("key", "tag", F.col("gone.at").alias("at"), F.col("gone.mask").alias("mask")), "lists")
+    scratch.drop("runs", "contents", "unclear", "single")
+    bitmap.destroy()
+    touched = bit_filter(lists.select(place_of(F.col("key"), F.col("tag")).alias("place")))
+    place = place_of(F.col("key"), F.col("tag"))
+    none = F.lit(None).cast("array<int>").alias("at"), F.lit(None).cast("array<long>").alias("mask")
+    whole = rows.select("*", *none, place.alias("place"))
+    cut = sieved(rows, place, touched, True).join(lists, ["key", "tag"], "left")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
-            words = words_of(texts)
-            n_words = np.diff(words.at)
+            n_words = np.zeros(texts.n, np.int64)
             n_removed = np.zeros(texts.n, np.int64)
             kept = []
             for i, (at, mask) in enumerate(zip(batch.column(1), batch.column(2))):
                 split = texts.one(i).split()
+                n_words[i] = len(split)
                 if at.is_valid and len(at):
                     covered = _covered(at.values.to_numpy(), mask.values.to_numpy(), len(split), size)
                     n_removed[i] = int(covered.sum())
@@ -248,9 +338,16 @@ def remove_repeats(
                 [key, "n_words", "n_removed", "kept", *[f"_carry{i}" for i in range(len(names))]],
             )
 
+    def of_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the filter is part of the map, not one before it, which would take another worker per task
+        for batch in batches:
+            if batch.num_rows:
+                yield from work([batch.filter(pa.array(~has_bit(touched.value, batch.column(batch.num_columns - 1))))])
+
     kinds = [f"_carry{i} {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
-    kind = documents.schema[key].dataType.simpleString()
-    out = map_arrow(joined, work, ", ".join([f"`{key}` {kind}, n_words long, n_removed long, kept string", *kinds]))
+    schema = ", ".join([f"`{key}` {kind}, n_words long, n_removed long, kept string", *kinds])
+    wanted = ["_key", "at", "mask", "text", *[n for n in names if n != "text"]]
+    out = map_arrow(whole.select(*wanted, "place"), of_whole, schema).unionByName(map_arrow(cut.select(*wanted), work, schema))
     if not carry:
         return out
     row = F.struct(*[F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)])
