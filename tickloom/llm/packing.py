@@ -12,18 +12,23 @@ They are dealt by a hash to groups of about ``rows_per_group`` pieces, whose num
 the input; a group's state is one counter per gap. Groups are packed apart, which costs at
 most the few sequences that each leaves open.
 
-Words repeat, so ids are looked up in a cache of bounded size. The split at ASCII space is
-exact for a tokenizer that, like the word BPE used here, never joins across space: the
-constructor of the cache is given the tokenizer's JSON and refuses others.
-
-Defined results: a null or empty text is the end id alone; repeated rows are packed each; an
-empty table gives an empty result; a null key is kept.
+Words repeat, and their pre-tokens even more so: ids are looked up in two caches of bounded
+size. The ids are the tokenizer's own: it drops white space and never joins across it, and a
+word of ASCII and composed Latin letters is cut by its pre-token rule before the look-up;
+any other word, and any text with the string of an added token, is left to the tokenizer.
+The constructor refuses a tokenizer of other rules.
+
+Defined results: a null or empty text is the end id alone; a very long text is many pieces, each
+dealt by itself; repeated rows are packed each, those equal in key and text in one group; an
+empty table gives an empty result; a null key is kept, and comes last among pieces of one
+length; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,11 +39,55 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.textkit import Texts, map_arrow, slices
 
-MAX_CACHED = 400_000
+MAX_CACHED = 300_000
+
+#: the tokenizer's pre-tokens, and letters besides a-z whose class no Unicode version changes
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u024f"
+PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+#: words of printable ASCII and of composed Latin letters, which lower one by one
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
+#: the pre-tokenizer and the normalizer that the above stand for (fixed values of the tokenizer)
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+
+
+class Pieces(dict):
+    """Ids of pre-tokens and of other words, by the tokenizer itself."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= MAX_CACHED:
+            self.clear()
+        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        self[piece] = ids
+        return ids
+
+
+class Words(dict):
+    """Ids of words, put together from their pre-tokens where these are certain."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= MAX_CACHED:
+            self.clear()
+        text = word.decode("utf-8")
+        if PLAIN.fullmatch(text):
+            ids = b"".join([self.pieces[p] for p in PRE_TOKEN.findall(text.lower())])
+        else:
+            ids = self.pieces[text]
+        self[word] = ids
+        return ids
 
 
 class WordCache:
-    """Token ids of texts as little-endian uint32 bytes, by way of their words."""
+    """Token ids of texts as little-endian uint32 bytes, by way of their words.
+
+    A text that holds an added token's string goes to the tokenizer whole.
+    """
 
     def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,38 +95,23 @@ class WordCache:
 
         spec = json.loads(tokenizer_json)
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-        if "Lowercase" not in kinds or spec["post_processor"] is not None or not _drops_space(spec):
-            raise ValueError("the word cache needs a lower-casing tokenizer that drops white space")
+        step = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        if kinds != NORMALIZERS or step.get("pattern") != {"Regex": PATTERN} or not step["invert"] or spec["post_processor"] is not None:
+            raise ValueError("the word cache stands for another tokenizer's normalizer and pre-tokens")
+        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError("the word cache finds added tokens by their plain strings only")
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        self.added = [t["content"].encode() for t in spec["added_tokens"]]
+        self.words = Words(Pieces(self.tokenizer))
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > MAX_CACHED:
-            self.known.clear()
-        fresh = list(words)
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in fresh], add_special_tokens=False)
-        for word, got in zip(fresh, found):
-            self.known[word] = np.array(got.ids, "<u4").tobytes()
+    def encode(self, text: bytes) -> bytes:
+        if any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.words.__getitem__, text.split()))
 
     def encode_all(self, texts: Texts) -> Iterator[bytes]:
-        split = [texts.one(i).lower().split() for i in range(texts.n)]
-        wanted = set().union(*split)
-        missing = wanted - self.known.keys()
-        if missing:
-            if len(self.known) + len(missing) > MAX_CACHED:
-                self.known.clear()
-                missing = wanted
-            self.learn(missing)
-        get = self.known.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
-
-
-def _drops_space(spec: dict) -> bool:
-    steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
-    first = steps[0]
-    return first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"] and "[^\\s" in first["pattern"]["Regex"]
+        for i in range(texts.n):
+            yield self.encode(texts.one(i))
 
 
 _caches: dict[int, WordCache] = {}
@@ -159,7 +193,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def pack(pieces: DataFrame, n_rows: int, capacity: int = 4096, rows_per_group: int = 40_000) -> DataFrame:
     """``pieces`` (key, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    ``n_rows`` is the expected number of pieces; it sets the number of groups only.
+    ``n_rows``, the most pieces there may be, sets the number of groups only.
     """
     groups = max(1, -(-n_rows // rows_per_group))
     columns = ["key", "piece", "start", "length", "ids_crc32"]
@@ -187,4 +221,6 @@ def pack_documents(
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
     pieces = token_pieces(documents, tokenizer_json, key, text, capacity, end_id)
-    return pack(pieces, documents.count(), capacity).withColumnRenamed("key", key)
+    size = documents.agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes")).first()
+    # an id stands for a byte at least, so this is not less than the number of pieces
+    return pack(pieces, size["n"] + (size["bytes"] or 0) // capacity, capacity).withColumnRenamed("key", key)
