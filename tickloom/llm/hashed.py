@@ -18,7 +18,7 @@ from tickloom.llm.textkit import LOWER, Texts, Words, map_arrow, mix, slices, wi
 
 BITS = 22
 SLOTS = 1 << BITS
-STEM = 5
+STEM, LONG_STEM = 5, 7
 
 #: letters to one class, digits to another, symbols as they are
 SHAPE = np.arange(256, dtype=np.uint8)
@@ -26,6 +26,11 @@ SHAPE[[*range(97, 123), *range(128, 256)]] = ord("a")
 SHAPE[65:91] = ord("A")
 SHAPE[48:58] = ord("9")
 
+#: bytes that are in no word of letters: all of ASCII but its letters
+NO_LETTER = np.zeros(256, dtype=bool)
+NO_LETTER[:128] = True
+NO_LETTER[[*range(65, 91), *range(97, 123)]] = False
+
 REPEAT = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -52,10 +57,10 @@ def features(texts: Texts, kinds: str) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """(text, slot, count), each (text, slot) once and in order.
 
     ``kinds``: w words, p word pairs and repeats of the word before, s shapes, q shape pairs,
-    b beginnings of ``STEM`` bytes.
+    b beginnings of ``STEM`` bytes, l runs of letters, m their beginnings of ``LONG_STEM`` bytes.
     """
-    words = words_of(texts)
-    row = np.repeat(np.arange(texts.n), np.diff(words.at))
+    words = words_of(texts) if set(kinds) & set("wpb") else None
+    row = np.repeat(np.arange(texts.n), np.diff(words.at)) if words else None
     found: list[tuple[np.ndarray, np.ndarray]] = []
     if set(kinds) & set("wp"):
         plain = word_hashes(texts.data, words, fold=LOWER)
@@ -68,6 +73,14 @@ def features(texts: Texts, kinds: str) -> tuple[np.ndarray, np.ndarray, np.ndarr
     if "b" in kinds:
         stems = Words(words.start, np.minimum(words.end, words.start + STEM), words.at)
         found.append((row, word_hashes(texts.data, stems, fold=LOWER) + np.uint64(3)))
+    if set(kinds) & set("lm"):
+        letters = words_of(texts, NO_LETTER)
+        at = np.repeat(np.arange(texts.n), np.diff(letters.at))
+        if "l" in kinds:
+            found.append((at, word_hashes(texts.data, letters, fold=LOWER) + np.uint64(6)))
+        if "m" in kinds:
+            stems = Words(letters.start, np.minimum(letters.end, letters.start + LONG_STEM), letters.at)
+            found.append((at, word_hashes(texts.data, stems, fold=LOWER) + np.uint64(7)))
     if set(kinds) & set("sq"):
         small = shapes_of(texts)
         parts = words_of(small)
@@ -131,18 +144,28 @@ def held_out(key: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+#: of the sampled texts, what is learned from at most; features take several times as much
+MOST_BYTES = 48 << 20
+
+
 def labelled(documents: DataFrame, labels: DataFrame, target: str, key: str, text: str, use: Column, most: int) -> DataFrame:
     """(text, label) of about ``most`` labelled documents: a sample by a hash of the key.
 
     ``use`` says which labelled keys may be learned from. A key labelled twice has its larger
-    label; null labels and keys are passed over. The sampled labels, about ``most`` of them,
-    are broadcast.
+    label; null labels and keys are passed over; rows equal in key and text count once. Where
+    the sampled texts have more than ``MOST_BYTES``, a smaller sample of them is taken, by a
+    hash of the text. The sampled labels, about ``most`` of them, are broadcast.
     """
     known = labels.filter(F.col(key).isNotNull() & F.col(target).isNotNull() & use).groupBy(key).agg(F.max(target).alias("label"))
     total = known.count()
     share = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < F.lit(min(1 << 20, (most << 20) // max(total, 1)))
     chosen = known.filter(share).select(F.col(key).alias("_key"), "label")
-    return documents.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "_key").select("text", "label")
+    rows = documents.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "_key")
+    rows = rows.dropDuplicates(["_key", "text"])
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_BYTES:
+        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit((MOST_BYTES << 20) // size))
+    return rows.select("text", "label")
 
 
 def sampled_features(sample: DataFrame, kinds: str) -> list[tuple[np.ndarray, np.ndarray, float]]:

@@ -221,11 +221,19 @@ def sample_windows(sample: DataFrame, per_text: int = 6) -> tuple[np.ndarray, li
 
 
 def fit(documents: DataFrame, use: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = 4000) -> Network | None:
-    """A network learned from about ``most`` of the rows that ``use`` admits; None without any."""
+    """A network learned from about ``most`` of the rows that ``use`` admits; None without any.
+
+    The sample is drawn by a hash of key and text, and rows equal in both count once.
+    """
     rows = documents.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & use)
-    total = rows.select(F.col(key)).count()
-    share = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < F.lit(min(1 << 20, (most << 20) // max(total, 1)))
-    windows, names = sample_windows(rows.filter(share).select(F.col(text).alias("text"), F.col(lang).alias("lang")))
+    rows = rows.select(F.col(key).alias("_key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    total = rows.count()
+    share = F.pmod(F.xxhash64("_key", "text"), F.lit(1 << 20)) < F.lit(min(1 << 20, (most << 20) // max(total, 1)))
+    distinct = ["_key", "text", "lang"]
+    windows, names = sample_windows(rows.filter(share).dropDuplicates(distinct).select("text", "lang"))
+    if not names and total:  # few different rows, none of which the hash draws
+        few = rows.dropDuplicates(distinct).orderBy(F.xxhash64("_key", "text"), *distinct).limit(most)
+        windows, names = sample_windows(few.select("text", "lang"))
     if not names:
         return None
     network = Network(sorted(set(names)))

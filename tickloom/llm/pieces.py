@@ -1,9 +1,11 @@
 """Encoding to pieces by unigram Viterbi over a double-array trie, and decoding.
 
-A text gets the marker U+2581 in front and for each space; of all ways to write it in pieces the one with the largest
-sum of scores is taken (ties: the longer last piece). The scores are the model's own: those of
-the BPE model given are merge ranks, not log probabilities, so the result is neither that
-model's BPE nor a unigram optimum by probability. A character that no piece covers is
+A text gets the marker U+2581 in front and for each space; of all ways to write it in pieces
+the one with the largest sum of log scores is taken (ties: the longer last piece). The model
+given is a BPE model, whose file has merge ranks and no log scores, and tokenizers are not
+trained here: the scores follow from the ranks by Zipf's law, the piece of rank r having a
+share of 1 / (r + 1) of all, and so the log of that as score; pieces without a rank come last.
+The ids are thus a unigram optimum under those shares and not the BPE model's own ids. A character that no piece covers is
 written as byte pieces, each at ``PENALTY`` below the lowest score. No piece holds a marker
 after another character, so a best path can be cut before every run of markers: the parts
 between are solved once each and kept in a cache of bounded size, a whole batch of new parts
@@ -13,7 +15,8 @@ Scale. The trie (two integer arrays) is built on the driver and broadcast, about
 32,000 pieces; encoding is a map over whole texts, nothing is shuffled.
 
 Defined results: null stays null; the empty text has no ids; texts that hold the marker
-itself decode to a space in its place; repeated rows are encoded each.
+itself decode to a space in its place; repeated rows are encoded each; an empty table gives an
+empty result; a column named ``piece_ids`` or ``decoded`` is replaced, other columns pass through.
 """
 
 from __future__ import annotations
@@ -143,7 +146,7 @@ def load_trie(model_file: str) -> Trie:
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=model_file)
-    plain, score, texts, byte_piece = [], [], [], np.zeros(256, np.int64)
+    plain, rank, texts, byte_piece = [], [], [], np.zeros(256, np.int64)
     for k in range(model.get_piece_size()):
         piece = model.id_to_piece(k)
         if model.is_byte(k):
@@ -156,11 +159,19 @@ def load_trie(model_file: str) -> Trie:
                 raise ValueError("a piece holds a marker after another character: parts can't be solved apart")
             plain.append((piece.encode(), k))
             texts.append(piece.encode())
-        unused = model.is_unused(k) or model.is_byte(k) or model.is_control(k) or model.is_unknown(k)
-        # pieces that a model gives no rank (its single characters) come last among the ranked
-        score.append(0.0 if unused else model.get_score(k))
-    lowest = min(s for s in score if s > -1e8)
-    return Trie.build(plain, [s if s > -1e8 else lowest - 1 for s in score], byte_piece, texts)
+        rank.append(-1.0 if texts[-1] == b"" or model.is_byte(k) or model.is_unused(k) else -model.get_score(k))
+    return Trie.build(plain, log_scores(np.array(rank)), byte_piece, texts)
+
+
+def log_scores(rank: np.ndarray) -> np.ndarray:
+    """Log shares by Zipf's law of merge ranks; -1 stands for no ordinary piece (score 0, not used),
+    a rank beyond 10^8 for none."""
+    known = (rank >= 0) & (rank < 1e8)
+    last = rank[known].max(initial=0) + 1
+    place = np.where(known, rank, last)
+    ordinary = rank >= 0
+    total = (1 / (place[ordinary] + 1)).sum()
+    return np.where(ordinary, -np.log((place + 1) * total), 0.0)
 
 
 class Coder:

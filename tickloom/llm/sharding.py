@@ -7,9 +7,9 @@ draw wins. A draw depends on nothing but the key, the child's path and the child
 so a change of weights moves rows only between the subtrees on the changed path.
 
 ``regular_topology`` puts the shards in order into racks of 2 and regions of 4 (both
-parameters). With 8 shards the ninth opens a region of its own: the eight old paths keep
-their weights, so the only rows that move are those that the new region wins, and each of
-them lands in the new shard.
+parameters). ``grown`` adds a shard in a region of its own: the old paths keep their weights,
+so the only rows that move are those that the new region wins, and each of them lands in the
+new shard. From 8 shards that is the regular topology of 9.
 
 The law is ``key``: the key and the topology decide; sizes and counts are even only in
 expectation.
@@ -46,6 +46,12 @@ def regular_topology(n_shards: int, shards_per_rack: int = 2, racks_per_region:
     return Topology(tuple(tuple(racks[i : i + racks_per_region]) for i in range(0, len(racks), racks_per_region)))
 
 
+def grown(topology: Topology, weight: float = 1.0) -> Topology:
+    """``topology`` with one more shard, numbered next, which takes rows only into itself."""
+    after = 1 + max(s for region in topology.regions for rack in region for s, _ in rack)
+    return Topology((*topology.regions, (((after, weight),),)))
+
+
 def uniform_hash(key: Column, path: str) -> Column:
     """A number in (0, 1) from the first 32 bits of md5(path ':' key)."""
     digest = F.md5(F.concat(F.lit(path + ":"), key))
@@ -109,7 +115,7 @@ def assign_shards(
         (F.octet_length(body).cast("long") + 1).alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         tree_shard(name, regular_topology(n_shards)).alias("shard"),
-        tree_shard(name, regular_topology(n_shards + 1)).alias("grown_shard"),
+        tree_shard(name, grown(regular_topology(n_shards))).alias("grown_shard"),
     )
     block = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("_key").cast("string"), F.col("text_crc32"))), 1, 8), 16, 10)
     placed = placed.withColumn("_block", (block.cast("long") % blocks).cast("int"))
