@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 from tickloom.llm.hashed import SLOTS, ftrl, labelled, sampled_features, scored, values
 
 KINDS = "wpsq"
+#: chosen on a part of the rows that may be learned from, by what is learned from the others
+EPOCHS, ALPHA, L1 = 4, 1.0, 0.02
 
 
 def fit(documents: DataFrame, labels: DataFrame, use: Column, key="doc_id", text="text", target="quality", most: int = 6000):
     """(weights, bias) learned from about ``most`` of the labelled rows that ``use`` admits."""
     rows = sampled_features(labelled(documents, labels, target, key, text, use, most), KINDS)
     examples = [(slots, values(np.zeros(len(slots), np.int64), counts, 1, True), label, 1.0) for slots, counts, label in rows]
-    return ftrl(examples, epochs=4, alpha=0.5, l1=0.02) if examples else (np.zeros(SLOTS), 0.0)
+    return ftrl(examples, epochs=EPOCHS, alpha=ALPHA, l1=L1) if examples else (np.zeros(SLOTS), 0.0)
 
 
 def score_quality(documents: DataFrame, model, text: str = "text", cut: float = 0.3) -> DataFrame:

@@ -36,7 +36,7 @@ LEXICONS = 24
 COUNTERS = 2
 LONG = 20
 CUT = 0.3
-#: a lexicon word occurs in so many toxic rows of the sample, and so many times likelier than in others
+#: chosen on a part of the rows that may be learned from: a lexicon word occurs in so many toxic rows of the sample, and so many times likelier than in others
 LEAST_ROWS, LEAST_RATIO = 3, 20.0
 
 #: fixed patterns; each matches a text that may be toxic
