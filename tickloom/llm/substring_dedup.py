@@ -270,7 +270,8 @@ def removed_runs(rows: DataFrame, runs: DataFrame, size: int, width: int, bitmap
     known = windows_of_runs(rows.select("key", "text", place_of(F.col("key")).alias("place")), size, width, bitmap, keys, anchors)
     # what the filters let through besides is true as well, and drops out at the join with the verdicts
     single = scratch.write(known.select("key", "anchor", "run", F.posexplode("windows").alias("place", "window")), "single")
-    least = single.groupBy("anchor", "window").agg(F.min("key").alias("least"))
+    # written, like the verdicts: a join of two tables is one that adaptive execution can split at a hot key
+    least = scratch.write(single.groupBy("anchor", "window").agg(F.min("key").alias("least")), "least")
     masks = (
         single.join(least, ["anchor", "window"])
         .groupBy("anchor", "run", "place")
@@ -280,7 +281,7 @@ def removed_runs(rows: DataFrame, runs: DataFrame, size: int, width: int, bitmap
         .agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
     )
     verdicts = contents.join(masks, ["anchor", "run"], "left").filter("last_key > first_key or mask is not null")
-    verdicts = verdicts.select("anchor", "run", "first_key", "mask")
+    verdicts = scratch.write(verdicts.select("anchor", "run", "first_key", "mask"), "verdicts")
     whole = F.expr("shiftleft(1L, n) - 1")
     return (
         runs.join(verdicts, ["anchor", "run"])
@@ -312,7 +313,7 @@ def remove_repeats(
         gone = removed_runs(rows, runs, size, width, bitmap, scratch)
         lists = gone.groupBy("key", "tag").agg(F.collect_set(F.struct("at", "mask")).alias("gone"))
         lists = scratch.write(lists.select("key", "tag", F.col("gone.at").alias("at"), F.col("gone.mask").alias("mask")), "lists")
-    scratch.drop("runs", "contents", "unclear", "single")
+    scratch.drop("runs", "contents", "unclear", "single", "least", "verdicts")
     bitmap.destroy()
     touched = bit_filter(lists.select(place_of(F.col("key"), F.col("tag")).alias("place")))
     place = place_of(F.col("key"), F.col("tag"))
