@@ -172,3 +172,28 @@ def test_models_and_study(spark):
 def test_roc_auc_of_one_score_and_one_class(spark):
     rows = spark.createDataFrame([("flat", 1, 5), ("flat", 0, 5), ("one", 1, 1), ("one", 1, 2), ("best", 0, 1), ("best", 1, 2)], "g string, y int, s int")
     assert {r["g"]: r["auc"] for r in aggregates.roc_auc(rows, "y", "s", ["g"]).collect()} == {"flat": 0.5, "one": 0.0, "best": 1.0}
+
+
+def test_export_importances_and_months(spark, tmp_path):
+    first = dt.date(2024, 1, 1)
+    rows = spark.createDataFrame([(first + dt.timedelta(days=k), float(k % 7), float(k), int(k % 7 > 3)) for k in range(60)], "day date, a double, b double, y int")
+    tree, line = (models.fitted(rows, f, ["a", "b"], "y") for f in ("dtree", "logreg"))
+    assert models.importances(tree, ["a", "b"])[0][0] == "a" and models.importances(line, ["a", "b"])[0][0] == "a"
+    found = {(r["model"], r["month"]): r for r in models.monthly({"tree": tree, "line": line}, rows, "y", "day").collect()}
+    assert set(found) == {(m, k) for m in ("tree", "line") for k in (1, 2)}
+    assert found["tree", 1]["f1"] == 1.0 and found["tree", 2]["auc"] == 1.0
+    models.exported(tree, spark, str(tmp_path), "tree_2024", {"kind": "dtree"})
+    assert spark.read.parquet(str(tmp_path / "tree_2024" / "tags")).first()["value"] == "dtree"
+    study = models.Study("dtree", [(0.5, {"maxDepth": 2})])
+    study.save(spark, str(tmp_path / "study"))
+    assert models.Study.load(spark, str(tmp_path / "study")) == study
+
+
+def test_settings(spark, tmp_path):
+    from tickloom import settings
+
+    assert settings.Settings.from_environment({"TICKLOOM_SAVE_FOLDER": "x"}) == settings.Settings(save_folder="x")
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    assert settings.scan(spark, str(tmp_path / "t")).count() == 3
+    spark.range(2).createOrReplaceTempView("named")
+    assert settings.scan(spark, "named").count() == 2

@@ -1,7 +1,7 @@
 """Regular trading grids: slots per symbol, gap filling, date trimming.
 
 Slots come from ``sequence``, day by day, so no night is generated to be dropped; filling is one
-window sorted once per symbol and used for both directions.
+window per direction, linear in a symbol's slots.
 """
 
 from __future__ import annotations
@@ -76,9 +76,10 @@ def fill_from_close(grid: DataFrame, bars: DataFrame, at: str = "ts") -> DataFra
     missing prices are that close; no volume and no trades where there is no bar."""
     joined = grid.join(bars, ["symbol", at], "left")
     by = Window.partitionBy("symbol").orderBy(at)
-    close = F.coalesce(
-        F.last("close", True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.first("close", True).over(by.rowsBetween(0, Window.unboundedFollowing))
-    )
+    # without a close before, the next one is the symbol's first: a frame over all its rows, which is
+    # linear, as one that reaches from each row to the end is not
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    close = F.coalesce(F.last("close", True).over(by.rowsBetween(Window.unboundedPreceding, 0)), F.first("close", True).over(whole))
     prices = [c for c in ("open", "high", "low", "vwap") if c in bars.columns]
     filled = joined.withColumn("close", close)
     filled = filled.withColumns({c: F.coalesce(c, "close") for c in prices})
@@ -90,7 +91,8 @@ def fill_gaps(bars: DataFrame, minutes: int = 30) -> DataFrame:
     joined = slots(bars, minutes).join(bars, ["symbol", "ts"], "left")
     by = Window.partitionBy("symbol").orderBy("ts")
     before = F.last("close", True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("open", True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    # in descending order the frame only grows, so that both directions are linear
+    after = F.last("open", True).over(Window.partitionBy("symbol").orderBy(F.desc("ts")).rowsBetween(Window.unboundedPreceding, 0))
     fill = F.coalesce(before, after)
     return joined.withColumn("fill", fill).select(
         "symbol",

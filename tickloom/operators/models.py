@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import RobustScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.aggregates import class_metrics, filled_with_median
+from tickloom.operators.aggregates import class_metrics, filled_with_median, roc_auc
 
 
 def one_hot(rows: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
@@ -130,3 +131,39 @@ class Study:
             self.trials.append((class_metrics(scored, target, "guess", []).first()["f1"], params))
         self.trials.sort(key=lambda t: -t[0])
         return self
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        text = json.dumps({"family": self.family, "trials": self.trials})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Study:
+        held = json.loads(spark.read.text(path).first()[0])
+        return Study(held["family"], [(f1, params) for f1, params in held["trials"]])
+
+
+def exported(model, spark: SparkSession, root: str, name: str, tags: dict[str, str]) -> None:
+    """The fitted pipeline under ``root/name`` and its tags beside it."""
+    model.write().overwrite().save(f"{root}/{name}/model")
+    rows = [(name, k, v) for k, v in sorted(tags.items())]
+    spark.createDataFrame(rows, "name string, tag string, value string").coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}/tags")
+
+
+def importances(model, columns: list[str]) -> list[tuple[str, float]]:
+    """Each feature's importance, or its coefficient in a linear model, largest first."""
+    last = model.stages[-1]
+    values = last.featureImportances if hasattr(last, "featureImportances") else last.coefficients
+    return sorted(zip(columns, (float(x) for x in values.toArray())), key=lambda p: -abs(p[1]))
+
+
+def monthly(models: dict[str, object], rows: DataFrame, target: str, day: str) -> DataFrame:
+    """(model, year, month, precision, recall, f1, auc) of every model on every month of ``rows``.
+
+    Each model scores the rows once; months come from a grouping, not from a loop over them.
+    """
+    scored = None
+    for name, model in models.items():
+        part = predicted(model, rows).select(F.lit(name).alias("model"), F.year(day).alias("year"), F.month(day).alias("month"), target, "guess", "score")
+        scored = part if scored is None else scored.unionByName(part)
+    by = ["model", "year", "month"]
+    return class_metrics(scored, target, "guess", by).join(roc_auc(scored, target, "score", by), by)
