@@ -144,15 +144,18 @@ def test_packing_matches_the_tokenizer(spark):
 
 
 def test_word_cache_equals_the_tokenizer_on_random_text():
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
+    from tickloom.llm.textkit import texts_of
+
     path = public_tokenizers.path("word_bpe_49k.json")
     cache, tokenizer = packing.WordCache(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
     r = random.Random(6)
     letters = [*"abcXYZ'.,!0129-sTrEvemLd$ \t\n\x0b\x0c\x1c\x85\xa0é\u0331\u0301WJßÀÖ×÷øİıŁĀſǅɏªµº中文😀\u030aﬁK٣①", "'s", "'RE", "H\u0331", "<|endoftext|>"]
     for _ in range(4000):
         text = "".join(r.choices(letters, k=r.randrange(1, 14)))
-        assert cache.encode(text.encode()) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+        assert next(cache.encode_all(texts_of(pa.array([text])))) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
 def test_packing_follows_the_sum_of_squares():

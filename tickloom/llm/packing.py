@@ -12,9 +12,9 @@ They are dealt by a hash to groups of about ``rows_per_group`` pieces, whose num
 the input; a group's state is one counter per gap. Groups are packed apart, which costs at
 most the few sequences that each leaves open.
 
-Words repeat, and their pre-tokens even more so: ids are looked up in two caches of bounded
-size. The ids are the tokenizer's own: it drops white space and never joins across it, and a
-word of ASCII and composed Latin letters is cut by its pre-token rule before the look-up;
+Pre-tokens repeat: their ids are looked up in a cache of bounded size, and found for many new
+ones in one call. The ids are the tokenizer's own: it drops white space and never joins across
+it, and text of ASCII and composed Latin letters is cut by its pre-token rule before the look-up;
 any other word, and any text with the string of an added token, is left to the tokenizer.
 The constructor refuses a tokenizer of other rules.
 
@@ -43,50 +43,22 @@ MAX_CACHED = 300_000
 
 #: the tokenizer's pre-tokens, and letters besides a-z whose class no Unicode version changes
 LETTERS = "a-z\u00df-\u00f6\u00f8-\u024f"
-PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
-#: words of printable ASCII and of composed Latin letters, which lower one by one
-PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
+SPACE = "\t-\r "
+PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9{SPACE}]+")
+#: text of printable ASCII, white space and composed Latin letters, which lower one by one
+PLAIN = re.compile(f"[!-~{SPACE}\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
+TOGETHER = 64
+WORD = re.compile(f"[^{SPACE}]+")
 #: the pre-tokenizer and the normalizer that the above stand for (fixed values of the tokenizer)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
 
-class Pieces(dict):
-    """Ids of pre-tokens and of other words, by the tokenizer itself."""
-
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_CACHED:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        self[piece] = ids
-        return ids
-
-
-class Words(dict):
-    """Ids of words, put together from their pre-tokens where these are certain."""
-
-    def __init__(self, pieces: Pieces):
-        self.pieces = pieces
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MAX_CACHED:
-            self.clear()
-        text = word.decode("utf-8")
-        if PLAIN.fullmatch(text):
-            ids = b"".join([self.pieces[p] for p in PRE_TOKEN.findall(text.lower())])
-        else:
-            ids = self.pieces[text]
-        self[word] = ids
-        return ids
-
-
 class WordCache:
-    """Token ids of texts as little-endian uint32 bytes, by way of their words.
+    """Token ids of texts as little-endian uint32 bytes, by way of their pre-tokens.
 
-    A text that holds an added token's string goes to the tokenizer whole.
+    A plain text is cut into pre-tokens at once; of other texts the words that are not plain go
+    to the tokenizer; a text that holds an added token's string goes there whole.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -96,22 +68,58 @@ class WordCache:
         spec = json.loads(tokenizer_json)
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         step = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
-        if kinds != NORMALIZERS or step.get("pattern") != {"Regex": PATTERN} or not step["invert"] or spec["post_processor"] is not None:
+        if kinds != NORMALIZERS or step.get("pattern") != {"Regex": PATTERN} or not step["invert"] or spec["post_processor"] is not None or not spec["model"]["end_of_word_suffix"]:
             raise ValueError("the word cache stands for another tokenizer's normalizer and pre-tokens")
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("the word cache finds added tokens by their plain strings only")
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.added = [t["content"].encode() for t in spec["added_tokens"]]
-        self.words = Words(Pieces(self.tokenizer))
+        vocabulary, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        self.is_last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_last[[k for piece, k in vocabulary.items() if piece.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, text: bytes) -> bytes:
-        if any(t in text for t in self.added):
-            return np.array(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.words.__getitem__, text.split()))
+    def pieces_of(self, text: str) -> list[str]:
+        """The text's pre-tokens in lower case; words that are not plain stay whole."""
+        if PLAIN.fullmatch(text):
+            return PRE_TOKEN.findall(text.lower())
+        out = []
+        for word in WORD.findall(text):
+            out += PRE_TOKEN.findall(word.lower()) if PLAIN.fullmatch(word) else [word]
+        return out
+
+    def learn(self, pieces: list[str]) -> None:
+        """Ids of pieces: plain ones many to a call, told apart by the ids that end a pre-token."""
+        plain = [p for p in pieces if PLAIN.fullmatch(p)]
+        groups = [" ".join(plain[at : at + TOGETHER]) for at in range(0, len(plain), TOGETHER)]
+        found = self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)
+        ids = np.array([k for group in found for k in group.ids], "<u4")
+        ends = (4 * (np.flatnonzero(self.is_last[ids]) + 1)).tolist()
+        raw, first = ids.tobytes(), 0
+        for piece, last in zip(plain, ends, strict=True):
+            self.known[piece] = raw[first:last]
+            first = last
+        other = [p for p in pieces if not PLAIN.fullmatch(p)]
+        for piece, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
+            self.known[piece] = np.array(found.ids, "<u4").tobytes()
 
     def encode_all(self, texts: Texts) -> Iterator[bytes]:
+        split: list[list[str] | bytes] = []
         for i in range(texts.n):
-            yield self.encode(texts.one(i))
+            raw = texts.one(i)
+            if any(t in raw for t in self.added):
+                split.append(np.array(self.tokenizer.encode(raw.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes())
+            else:
+                split.append(self.pieces_of(raw.decode("utf-8")))
+        wanted = set().union(*[x for x in split if isinstance(x, list)])
+        missing = wanted - self.known.keys()
+        if len(self.known) + len(missing) > MAX_CACHED:
+            self.known.clear()
+            missing = wanted
+        self.learn(list(missing))
+        get = self.known.__getitem__
+        for pieces in split:
+            yield b"".join(map(get, pieces)) if isinstance(pieces, list) else pieces
 
 
 _caches: dict[int, WordCache] = {}
