@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
-from tickloom.llm.shared import bit_filter, checkpointed, has_bit, place_of
+from tickloom.llm.shared import bit_filter, checkpointed, has_bit, place_of, small_batches
 from tickloom.llm.textkit import LOWER, Texts, map_arrow, mix, slices, window_hashes, word_hashes, words_of
 
 REGISTER_BITS = 7
@@ -49,6 +49,7 @@ MANTISSA = 10
 ROWS = 4
 BANDS = REGISTERS // ROWS
 BLOCK = 2000
+SLICE_TEXT = 1 << 19
 BLOCK_SHINGLES = 4_000_000
 #: chance that two independent registers agree: a mantissa cell is this share of its place
 COLLISION = 1 / (8 * math.log(2))
@@ -133,7 +134,7 @@ def profiles(documents: DataFrame, key: str, text: str, shingle: int) -> DataFra
     """Per row: key, n_shingles, class (hash of the set; null if empty), registers, bands."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches, "text"):
+        for batch, texts in slices(batches, "text", SLICE_TEXT):
             size, cls, regs, bands = [], [], [], []
             for s in shingle_sets(texts, shingle):
                 size.append(len(s))
@@ -168,7 +169,7 @@ def sets_of(documents: DataFrame, classes: DataFrame, key: str, text: str, shing
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.filter(pa.array(has_bit(shared.value, batch.column(0)))) if batch.num_rows else batch
-            for _, texts in slices([wanted], "text"):
+            for _, texts in slices([wanted], "text", SLICE_TEXT):
                 found = [s for s in shingle_sets(texts, shingle) if len(s)]
                 if found:
                     yield pa.RecordBatch.from_arrays(
@@ -306,26 +307,27 @@ def near_duplicates(
     documents: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80
 ) -> DataFrame:
     """Per input row: the key, n_shingles, component_id (least key of its group), kept (is it that row's key?)."""
-    rows = checkpointed(profiles(documents, key, text, shingle))
-    classes = checkpointed(
-        rows.filter("class is not null")
-        .groupBy("class")
-        .agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
-    )
-    bands = classes.select("class", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
-    buckets = checkpointed(bands.join(shared, "band"))
-    stars = checkpointed(star_pairs(classes, buckets, percent))
-
-    def sets(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-        return sets_of(documents, classes.select("class", "first").join(ends, "class", "left_semi"), key, text, shingle)
-
-    links = checkpointed(confirmed(stars, sets(stars), percent))
-    labels = components(links)
-    more = checkpointed(rest_links(documents, classes, buckets, labels, key, text, shingle, percent))
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    with small_batches(documents.sparkSession):
+        rows = checkpointed(profiles(documents, key, text, shingle))
+        classes = checkpointed(
+            rows.filter("class is not null")
+            .groupBy("class")
+            .agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
+        )
+        bands = classes.select("class", F.explode("bands").alias("band"))
+        shared = bands.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
+        buckets = checkpointed(bands.join(shared, "band"))
+        stars = checkpointed(star_pairs(classes, buckets, percent))
+
+        def sets(pairs: DataFrame) -> DataFrame:
+            ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+            return sets_of(documents, classes.select("class", "first").join(ends, "class", "left_semi"), key, text, shingle)
+
+        links = checkpointed(confirmed(stars, sets(stars), percent))
+        labels = components(links)
+        more = checkpointed(rest_links(documents, classes, buckets, labels, key, text, shingle, percent))
+        if not more.isEmpty():
+            labels = components(links.union(more))
     group = classes.select("class", "first").join(labels.withColumnRenamed("v", "class"), "class", "left")
     group = group.withColumn("label", F.coalesce("label", "class"))
     least = group.groupBy("label").agg(F.min("first").alias("least"))
