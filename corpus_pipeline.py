@@ -17,7 +17,13 @@ from pyspark.sql import functions as F
 from tickloom.llm import near_dedup, packing, quality, substring_dedup, toxicity
 from tickloom.llm.hashed import held_out
 from tickloom.llm.queries import _word_tokenizer
-from tickloom.llm.shared import bit_filter, checkpoint_dir, delete, exists, place_of, sieved, with_row_ids
+from tickloom.llm.shared import bit_filter, checkpoint_dir, checkpointed, delete, exists, place_of, sieved, with_row_ids
+
+
+def _long_texts(spark: SparkSession) -> None:
+    """From here on the session hands Python a thousand rows at a time, not ten thousand, whose texts
+    would take a large part of a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,18 +33,20 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _kept_by(docs: DataFrame, score, wanted: int) -> DataFrame:
     """The rows for which ``score``, which adds score and predicted, predicts ``wanted``; columns
     of ``docs`` that have these names stay what they are."""
-    wrapped = docs.select(F.col("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole"))
-    return score(wrapped).filter(F.col("predicted") == wanted).select("_whole.*")
+    names = ["text" if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]
+    return score(docs.toDF(*names)).filter(F.col("predicted") == wanted).select(*names).toDF(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier predicts to be toxic go."""
+    _long_texts(spark)
     model = toxicity.fit(docs, _labels(spark, sf_dir), ~held_out(F.col("doc_id"), 4, 2))
     return _kept_by(docs, lambda d: toxicity.score_toxicity(d, model), 0)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier predicts to be of low quality go."""
+    _long_texts(spark)
     model = quality.fit(docs, _labels(spark, sf_dir), ~held_out(F.col("doc_id"), 5, 0))
     return _kept_by(docs, lambda d: quality.score_quality(d, model), 1)
 
@@ -49,9 +57,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Only rows whose bit is set in a filter of the dropped ones are shuffled to be told apart.
     """
+    _long_texts(spark)
     rows, _ = with_row_ids(docs, "doc_id", "__row")
     found = near_dedup.near_duplicates(rows, key="__row", shingle=5, percent=80)
-    dropped = found.filter("not kept").select("__row")
+    dropped = checkpointed(found.filter("not kept").select("__row"))
     place: Column = place_of(F.col("__row"))
     held = bit_filter(dropped.select(place.alias("place")))
     rest = sieved(rows, place, held, True).join(dropped, "__row", "left_anti")
@@ -61,6 +70,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A text that loses words keeps the others, joined by one space, and its n_chars follows;
     other texts stay as they are. A passage stays in the first row by doc_id, null ids last."""
+    _long_texts(spark)
     rows, _ = with_row_ids(docs, "doc_id", "__row")
     found = substring_dedup.remove_repeats(rows, key="__row", size=50, carry=tuple(docs.columns))
     cut = F.col("n_removed") > 0
@@ -73,6 +83,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows with their sequences; rows of one doc_id are packed each."""
+    _long_texts(spark)
     return packing.pack_documents(docs, _word_tokenizer(), capacity=4096, end_id=1)
 
 
