@@ -108,6 +108,43 @@ def test_trend_events_neutralise_a_split(spark):
     assert len(found) == 1 and found[0]["factor"] == 2.0 and found[0]["close_adj"] == 100.0 and found[0]["pct_change"] == 0.0
 
 
+def test_trend_events_of_prices_without_targets(spark):
+    at = lambda h, m: dt.datetime(2024, 1, 2, h, m)
+    bars = [
+        ("a", at(10, 0), 100.0, 100.5, 99.5, 100.0, 100.0),
+        ("a", at(10, 30), 100.0, 100.2, 0.0, 0.0, 0.0),  # falls to 0, which ends an event; 0 has no factor
+        ("a", at(11, 0), 0.0, 50.0, 0.0, 50.0, 50.0),  # rises from 0, which ends the next
+        ("a", at(11, 30), 50.0, 50.4, 49.9, 50.1, 50.1),
+        ("b", at(10, 0), 0.0, 0.0, 0.0, 0.0, 0.0),  # never above 0
+        ("c", at(10, 0), 50.0, 50.0, 49.9, 0.0, 0.0),  # its first factor is the second bar's
+        ("c", at(10, 30), 50.0, 50.2, 49.9, 50.0, 25.0),
+        ("d", at(10, 0), 1.0, 1.0, 1.0, 1.0, 10000.0),  # ten thousand to one: 0.000 is no factor
+        ("d", at(10, 30), 10000.0, 10000.0, 10000.0, 10000.0, 10000.0),
+        ("e", at(10, 0), float("nan"), 2.0, 1.0, 2.0, 2.0),  # no number: passed over
+        ("e", at(10, 30), 3.0, 3.0, 3.0, 3.0, 3.0),
+    ]
+    candles = [
+        *(("a", at(10, m), h, lo, c) for m, h, lo, c in ((31, 100.1, 99.8, 100.0), (40, 100.0, 0.0, 0.0), (50, 0.0, 0.0, 0.0))),
+        *(("a", at(11, m), h, lo, c) for m, h, lo, c in ((5, 0.0, 0.0, 0.0), (10, 50.0, 0.0, 50.0), (20, 50.2, 49.8, 50.0))),
+        ("b", at(10, 1), 0.0, 0.0, 0.0),
+        ("d", at(10, 31), 10000.0, 10000.0, 10000.0),
+        ("e", at(10, 1), 2.0, 1.0, 2.0),
+    ]
+    found = events.trend_events(
+        spark.createDataFrame(bars, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, close_adj double"),
+        spark.createDataFrame(candles, "symbol string, ts timestamp_ntz, high double, low double, close double"),
+    ).orderBy("symbol", "start_time").collect()
+    assert [(*r[:9], r[9] if r[9] is None else round(r[9], 6)) for r in found] == [
+        ("a", at(10, 0), at(10, 40), 100.0, 100.5, 0.0, 0.0, 0.0, 1.0, -1.0),
+        ("a", at(10, 41), at(11, 10), 0.0, 50.0, 0.0, 50.0, 50.0, 1.0, None),
+        ("a", at(11, 11), at(11, 30), 50.0, 50.4, 49.8, 50.1, 50.1, 1.0, 0.002),
+        ("b", at(10, 0), at(10, 0), 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, None),
+        ("c", at(10, 0), at(10, 30), 50.0, 50.2, 49.9, 50.0, 50.0, 1.0, 0.0),
+        ("d", at(10, 0), at(10, 30), 1.0, 10000.0, 1.0, 10000.0, 1.0, 0.0001, 0.0),
+        ("e", at(10, 30), at(10, 30), 3.0, 3.0, 3.0, 3.0, 3.0, 1.0, 0.0),
+    ]
+
+
 def test_targets_of_all_tiers():
     near = [tuple(round(x, 6) for x in events.targets(p)) for p in (0.1, 0.5, 2.0, 10.0, 10.01)]
     assert near == [(0.088, 0.112), (0.46, 0.54), (1.9, 2.1), (9.7, 10.3), (9.81, 10.21)]

@@ -5,12 +5,17 @@ candles are followed until a close reaches a target, which ends the event and st
 one at that close. A factor of adjusted to raw close, against the one at the event's start,
 takes splits out. The last event of a symbol is open and always there.
 
+A price may be 0 or less. It ends an event as any other does, but has no targets itself: an event
+that starts at it ends at the first close above 0, and its change in per cent is null. A bar whose
+close gives no factor above 0 keeps the factor before it.
+
 The state machine is sequential in a symbol, so the rows are dealt by symbol, sorted, and read
 as a stream: a task holds one batch and one symbol's state, however long its history.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,25 +44,30 @@ def targets(price: float) -> tuple[float, float]:
 
 @dataclass
 class Trend:
-    """The open event of one symbol."""
+    """The open event of one symbol; a factor is None until a bar has one."""
 
     symbol: str
     price: float
-    factor: float
+    factor: float | None
     start: int
     high: float
     low: float
     ratio: float = 1.0
-    bar_factor: float = 1.0
+    bar_factor: float | None = None
     inside: bool = False
     last: tuple[int, float] = (0, 0.0)
 
     def bar(self, at: int, high: float, low: float, close: float, adjusted: float) -> None:
         """A bar: either it only widens the range, or its candles are to be followed."""
-        self.bar_factor = adjusted / close
-        self.ratio = round(self.bar_factor / self.factor, 3)
+        found = adjusted / close if close else 0.0
+        if 0 < found < math.inf:
+            self.bar_factor = found
+            if self.factor is None:
+                self.factor = found
+            ratio = found / self.factor
+            self.ratio = round(ratio, 3) or ratio  # a split of more than 2000 to 1 must not make it 0
         self.last = (at, close)
-        lower, upper = targets(self.price)
+        lower, upper = self._band()
         self.inside = high * self.ratio >= upper or low * self.ratio <= lower
         if not self.inside:
             self.high, self.low = max(self.high, high), min(self.low, low)
@@ -68,7 +78,7 @@ class Trend:
             return None
         self.high, self.low = max(self.high, high), min(self.low, low)
         now = close * self.ratio
-        lower, upper = targets(self.price)
+        lower, upper = self._band()
         if lower < now < upper:
             return None
         if self.ratio > 1:
@@ -84,19 +94,24 @@ class Trend:
         at, close = self.last
         return self._row(at, self.price, close, close * self.ratio)
 
+    def _band(self) -> tuple[float, float]:
+        """The targets; of a price that has none, anything above 0."""
+        return targets(self.price) if self.price > 0 else (-math.inf, math.ulp(0.0))
+
     def _row(self, end: int, first: float, close: float, now: float) -> tuple:
-        return (self.symbol, self.start, end, first, self.high, self.low, close, now, self.ratio, (now - self.price) / self.price)
+        change = (now - self.price) / self.price if self.price > 0 else None
+        return (self.symbol, self.start, end, first, self.high, self.low, close, now, self.ratio, change)
 
 
 def trend_events(bars: DataFrame, candles: DataFrame, minutes: int = 30) -> DataFrame:
     """Events of every symbol from ``bars`` (symbol, ts, open, high, low, close, close_adj) of
     ``minutes`` and finer ``candles`` (symbol, ts, high, low, close).
 
-    Candles outside every bar are passed over; rows with a null price are too. A symbol without
-    bars has no event.
+    Candles outside every bar are passed over; rows with a null price or one that is no number are
+    too. A symbol without bars has no event.
     """
     bucket = F.window("ts", f"{minutes} minutes").start.alias("bucket")
-    wide = bars.select("symbol", bucket, F.lit(0).alias("kind"), "ts", "open", "high", "low", "close", "close_adj")
+    wide = bars.select("symbol", bucket, F.lit(0).alias("kind"), "ts", "open", "high", "low", "close", "close_adj").na.drop(subset=["open", "close_adj"])
     fine = candles.select(
         "symbol", bucket, F.lit(1).alias("kind"), "ts", F.lit(None).cast("double").alias("open"), "high", "low", "close", F.lit(None).cast("double").alias("close_adj")
     )
@@ -114,10 +129,8 @@ def trend_events(bars: DataFrame, candles: DataFrame, minutes: int = 30) -> Data
                     out.append(trend.open_event())
                     trend = None
                 if kind == 0:
-                    if first is None or adjusted is None:
-                        continue
                     if trend is None:
-                        trend = Trend(symbol, first, adjusted / close, at, first, first)
+                        trend = Trend(symbol, first, None, at, first, first)
                     trend.bar(at, high, low, close, adjusted)
                     bar_at = start
                 elif trend is not None and bar_at == start:
