@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.llm.shared import tidy
 from tickloom.llm.textkit import LOWER, Texts, Words, map_arrow, mix, slices, window_hashes, word_hashes, words_of
 
 BITS = 22
@@ -135,7 +136,9 @@ def ftrl(
             step = (np.sqrt(n[slots] + gradient**2) - np.sqrt(n[slots])) / alpha
             z[slots] += gradient - step * w
             n[slots] += gradient**2
-    w = solve(np.arange(SLOTS + 1))
+    w = np.zeros(SLOTS + 1)
+    for at in range(0, SLOTS + 1, 1 << 16):  # small temporaries
+        w[at : at + (1 << 16)] = solve(np.arange(at, min(at + (1 << 16), SLOTS + 1)))
     return w[:-1], float(w[-1])
 
 
@@ -195,6 +198,7 @@ def scored(documents: DataFrame, weights: np.ndarray, bias: float, kinds: str, s
     The weights (2^22 floats, 16 MB) are broadcast. Other columns pass through untouched.
     """
     held = documents.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
+    tidy(documents.sparkSession)  # the sample and what was learned from it are large
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = held.value

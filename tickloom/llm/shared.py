@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,10 +35,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def tidy(spark: SparkSession) -> bool:
+    """The driver gives back memory that it does not use; did its JVM collect garbage for that?
+
+    Between steps of many tasks the JVM's heap holds little but has grown far; it shrinks only
+    when all of it is collected, which is asked for once it has half of its limit. The
+    C library keeps what Python has freed until it is told to return it.
+    """
+    gc.collect()
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    grown = heap.totalMemory() > heap.maxMemory() // 2
+    if grown:
+        spark._jvm.java.lang.System.gc()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+    return grown
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
     """``frame`` written to the shared folder and read from there, its lineage cut."""
     checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    held = frame.checkpoint(eager=True)
+    tidy(frame.sparkSession)
+    return held
 
 
 @contextmanager
@@ -61,6 +84,7 @@ class Scratch:
 
     def write(self, frame: DataFrame, name: str) -> DataFrame:
         frame.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        tidy(self.spark)
         return self.spark.read.schema(frame.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, *names: str) -> None:

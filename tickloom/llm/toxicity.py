@@ -52,14 +52,17 @@ PATTERNS = [
 
 def mine_lexicons(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
     """Of each slot: the lexicon (0 to ``LEXICONS`` - 1) that holds it, or -1."""
-    seen = np.zeros((2, SLOTS))
+    seen = np.zeros((2, SLOTS), np.int32)
     n = np.ones(2)
     for slots, _, label in rows:
         seen[int(label > 0), slots] += 1
         n[int(label > 0)] += 1
-    ratio = ((seen[1] + 0.1) / n[1]) / ((seen[0] + 0.5) / n[0])
-    dealt = (mix(np.arange(SLOTS, dtype=np.uint64)) % np.uint64(LEXICONS)).astype(np.int64)
-    return np.where((seen[1] >= LEAST_ROWS) & (ratio > LEAST_RATIO), dealt, -1)
+    often = np.flatnonzero(seen[1] >= LEAST_ROWS)  # few of the slots: whole tables of them are large
+    ratio = ((seen[1, often] + 0.1) / n[1]) / ((seen[0, often] + 0.5) / n[0])
+    often = often[ratio > LEAST_RATIO]
+    lexicon = np.full(SLOTS, -1, np.int8)
+    lexicon[often] = mix(often.astype(np.uint64)) % np.uint64(LEXICONS)
+    return lexicon
 
 
 def votes_of(slots: np.ndarray, patterns: list[int], lexicon: np.ndarray) -> np.ndarray:
