@@ -1,11 +1,15 @@
 """What the driver and the workers hold."""
 
+import random
 import tracemalloc
 from types import SimpleNamespace
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 
-from tickloom.llm import hashed, shared, toxicity
+from tickloom.llm import hashed, packing, shared, toxicity
+from tickloom.llm.textkit import texts_of
 
 
 def peak_mb(work) -> float:
@@ -49,3 +53,28 @@ def test_a_grown_heap_is_collected():
         driver = SimpleNamespace(_jvm=SimpleNamespace(java=SimpleNamespace(lang=lang)))
         assert shared.tidy(driver) == (total == 6)
     assert calls == [6]
+
+
+def test_cached_ids_are_bounded_in_bytes_and_number(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    cache, tokenizer = packing.WordCache(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "MAX_CACHED", 20)
+    r = random.Random(2)
+    words = ["".join(r.choices("abcdeüßéñ", k=r.randrange(1, 9))) for _ in range(100)] + ["中" * 3000, "x" * 3000, "ß" * 70]
+    for _ in range(5):
+        text = " ".join(r.choices(words, k=300))
+        assert next(cache.encode_all(texts_of(pa.array([text])))) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert 0 < len(cache.known) <= 20 and max(map(len, cache.known)) <= 64
+
+
+def test_packing_moves_no_ids(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "d " * 5000)], "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plan = packing.pack_documents(docs, path)._jdf.queryExecution().analyzed().toString()
+    assert "crc32" in plan and "ids#" not in plan
+    spec = open(path, encoding="utf-8").read()
+    whole = packing.token_pieces(docs, spec).orderBy("key", "piece").collect()
+    assert [len(x["ids"]) // 4 for x in whole] == [x["length"] for x in whole] == [4, 4096, 905]
+    assert "ids" not in packing.token_pieces(docs, spec, with_ids=False).columns

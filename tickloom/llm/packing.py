@@ -12,8 +12,8 @@ They are dealt by a hash to groups of about ``rows_per_group`` pieces, whose num
 the input; a group's state is one counter per gap. Groups are packed apart, which costs at
 most the few sequences that each leaves open.
 
-Pre-tokens repeat: their ids are looked up in a cache of bounded size, and found for many new
-ones in one call. The ids are the tokenizer's own: it drops white space and never joins across
+Pre-tokens repeat: their ids are looked up in a cache of bounded size, and new ones are found by
+the tokenizer's model alone. The ids are the tokenizer's own: it drops white space and never joins across
 it, and text of ASCII and composed Latin letters is cut by its pre-token rule before the look-up;
 any other word, and any text with the string of an added token, is left to the tokenizer.
 The constructor refuses a tokenizer of other rules.
@@ -29,6 +29,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.textkit import Texts, map_arrow, slices
 
-MAX_CACHED = 300_000
+MAX_CACHED, LONGEST_CACHED = 300_000, 64
 
 #: the tokenizer's pre-tokens, and letters besides a-z whose class no Unicode version changes
 LETTERS = "a-z\u00df-\u00f6\u00f8-\u024f"
@@ -47,11 +48,38 @@ SPACE = "\t-\r "
 PRE_TOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9{SPACE}]+")
 #: text of printable ASCII, white space and composed Latin letters, which lower one by one
 PLAIN = re.compile(f"[!-~{SPACE}\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]*")
-TOGETHER = 64
 WORD = re.compile(f"[^{SPACE}]+")
 #: the pre-tokenizer and the normalizer that the above stand for (fixed values of the tokenizer)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+#: the byte-level spelling: bytes that are no printable Latin-1 character stand as letters from 256 on
+BYTE_CHARS = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+class PreTokens(dict):
+    """Token ids of pre-tokens as little-endian uint32 bytes; those not there are found and added.
+
+    The model of the tokenizer splits a plain pre-token, which its normalizer and pre-token rule
+    would leave as it is; other words go through the whole tokenizer. Few long ones come again,
+    and they are not kept, so that ``MAX_CACHED`` bounds the memory.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.split = tokenizer, tokenizer.model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            ids = [token.id for token in self.split(piece)]
+        elif PLAIN.fullmatch(piece):
+            ids = [token.id for token in self.split(piece.encode().decode("latin-1").translate(BYTE_CHARS))]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        raw = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= LONGEST_CACHED:
+            if len(self) >= MAX_CACHED:
+                self.clear()
+            self[piece] = raw
+        return raw
 
 
 class WordCache:
@@ -67,17 +95,16 @@ class WordCache:
 
         spec = json.loads(tokenizer_json)
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-        step = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
-        if kinds != NORMALIZERS or step.get("pattern") != {"Regex": PATTERN} or not step["invert"] or spec["post_processor"] is not None or not spec["model"]["end_of_word_suffix"]:
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        if kinds != NORMALIZERS or steps[0].get("pattern") != {"Regex": PATTERN} or not steps[0]["invert"] or spec["post_processor"] is not None or not spec["model"]["end_of_word_suffix"]:
             raise ValueError("the word cache stands for another tokenizer's normalizer and pre-tokens")
+        if [x["type"] for x in steps[1:]] != ["ByteLevel"] or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
+            raise ValueError("the word cache stands for pre-tokens that are spelled by their bytes")
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("the word cache finds added tokens by their plain strings only")
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.added = [t["content"].encode() for t in spec["added_tokens"]]
-        vocabulary, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
-        self.is_last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.is_last[[k for piece, k in vocabulary.items() if piece.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {}
+        self.known = PreTokens(self.tokenizer)
 
     def pieces_of(self, text: str) -> list[str]:
         """The text's pre-tokens in lower case; words that are not plain stay whole."""
@@ -88,38 +115,14 @@ class WordCache:
             out += PRE_TOKEN.findall(word.lower()) if PLAIN.fullmatch(word) else [word]
         return out
 
-    def learn(self, pieces: list[str]) -> None:
-        """Ids of pieces: plain ones many to a call, told apart by the ids that end a pre-token."""
-        plain = [p for p in pieces if PLAIN.fullmatch(p)]
-        groups = [" ".join(plain[at : at + TOGETHER]) for at in range(0, len(plain), TOGETHER)]
-        found = self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)
-        ids = np.array([k for group in found for k in group.ids], "<u4")
-        ends = (4 * (np.flatnonzero(self.is_last[ids]) + 1)).tolist()
-        raw, first = ids.tobytes(), 0
-        for piece, last in zip(plain, ends, strict=True):
-            self.known[piece] = raw[first:last]
-            first = last
-        other = [p for p in pieces if not PLAIN.fullmatch(p)]
-        for piece, found in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
-
     def encode_all(self, texts: Texts) -> Iterator[bytes]:
-        split: list[list[str] | bytes] = []
+        get = self.known.__getitem__
         for i in range(texts.n):
             raw = texts.one(i)
             if any(t in raw for t in self.added):
-                split.append(np.array(self.tokenizer.encode(raw.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes())
+                yield np.array(self.tokenizer.encode(raw.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
             else:
-                split.append(self.pieces_of(raw.decode("utf-8")))
-        wanted = set().union(*[x for x in split if isinstance(x, list)])
-        missing = wanted - self.known.keys()
-        if len(self.known) + len(missing) > MAX_CACHED:
-            self.known.clear()
-            missing = wanted
-        self.learn(list(missing))
-        get = self.known.__getitem__
-        for pieces in split:
-            yield b"".join(map(get, pieces)) if isinstance(pieces, list) else pieces
+                yield b"".join(map(get, self.pieces_of(raw.decode("utf-8"))))
 
 
 _caches: dict[int, WordCache] = {}
@@ -134,9 +137,16 @@ def word_cache(tokenizer_json: str) -> WordCache:
 
 
 def token_pieces(
-    documents: DataFrame, tokenizer_json: str, key: str = "doc_id", text: str = "text", capacity: int = 4096, end_id: int = 1
+    documents: DataFrame,
+    tokenizer_json: str,
+    key: str = "doc_id",
+    text: str = "text",
+    capacity: int = 4096,
+    end_id: int = 1,
+    with_ids: bool = True,
 ) -> DataFrame:
-    """Per piece: key, piece, start, length, ids_crc32 and the piece's ids (binary, uint32 LE)."""
+    """Per piece: key, piece, start, length, ids_crc32 and, if wanted, the piece's ids (binary, uint32 LE)."""
+    names = ["key", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
     spec = documents.sparkSession.sparkContext.broadcast(tokenizer_json)
     end = np.array([end_id], "<u4").tobytes()
     step = 4 * capacity
@@ -144,29 +154,31 @@ def token_pieces(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(spec.value)
         for batch, texts in slices(batches, "text"):
-            row, piece, ids = [], [], []
+            row, piece, length, crc, ids = [], [], [], [], []
             for i, raw in enumerate(cache.encode_all(texts)):
                 raw += end
                 for p, at in enumerate(range(0, len(raw), step)):
+                    part = raw[at : at + step]
                     row.append(i)
                     piece.append(p)
-                    ids.append(raw[at : at + step])
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
+                    if with_ids:
+                        ids.append(part)
             number = np.array(piece, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(row, pa.int64())),
-                    pa.array(number.astype(np.int32)),
-                    pa.array(number * capacity),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                    pa.array(ids, pa.binary()),
-                ],
-                ["key", "piece", "start", "length", "ids_crc32", "ids"],
-            )
+            columns = [
+                batch.column(0).take(pa.array(row, pa.int64())),
+                pa.array(number.astype(np.int32)),
+                pa.array(number * capacity),
+                pa.array(length, pa.int64()),
+                pa.array(crc, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.binary())] if with_ids else columns, names)
 
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return map_arrow(rows, work, f"key {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    schema = f"key {kind}, piece int, start long, length long, ids_crc32 long"
+    return map_arrow(rows, work, f"{schema}, ids binary" if with_ids else schema)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +240,7 @@ def pack_documents(
     """Per piece: the key, piece, start, length, ids_crc32, sequence_id, offset."""
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
-    pieces = token_pieces(documents, tokenizer_json, key, text, capacity, end_id)
+    pieces = token_pieces(documents, tokenizer_json, key, text, capacity, end_id, with_ids=False)
     size = documents.agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes")).first()
     # an id stands for a byte at least, so this is not less than the number of pieces
     return pack(pieces, size["n"] + (size["bytes"] or 0) // capacity, capacity).withColumnRenamed("key", key)
