@@ -7,8 +7,9 @@ from types import SimpleNamespace
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from tickloom.llm import hashed, packing, shared, toxicity
+from tickloom.llm import hashed, packing, shared, textkit, toxicity
 from tickloom.llm.textkit import texts_of
 
 
@@ -78,3 +79,30 @@ def test_packing_moves_no_ids(spark):
     whole = packing.token_pieces(docs, spec).orderBy("key", "piece").collect()
     assert [len(x["ids"]) // 4 for x in whole] == [x["length"] for x in whole] == [4, 4096, 905]
     assert "ids" not in packing.token_pieces(docs, spec, with_ids=False).columns
+
+
+def test_workers_map_a_broadcast_bitmap_from_its_file(spark):
+    value = np.random.default_rng(3).integers(0, 256, 8 << 20, np.uint8).tobytes()
+    large, small, other = (spark.sparkContext.broadcast(x) for x in (value, b"ab", np.arange(9, dtype=np.uint8)))
+
+    def work(batches):
+        for _ in batches:
+            found = [shared.mapped(x) for x in (large, small, other)]
+            loaded = [hasattr(x, "_value") for x in (large, small, other)]
+            same = [found[0].tobytes() == large.value, found[1].tobytes() == b"ab", found[2].tolist() == list(range(9))]
+            again = shared.mapped(large).tobytes() == large.value  # loaded by now
+            yield pa.RecordBatch.from_arrays([pa.array([str((loaded, same, again))])], ["x"])
+
+    found = spark.range(1).mapInArrow(work, "x string").first()[0]
+    assert found == str(([False, True, True], [True] * 3, True))
+
+
+def test_workers_give_back_memory_after_a_partition(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(textkit, "give_back", lambda: calls.append("back"))
+    frame = SimpleNamespace(mapInArrow=lambda work, schema: work)
+    assert list(textkit.map_arrow(frame, lambda batches: iter(batches), "x int")([1, 2])) == [1, 2] and calls == ["back"]
+    seen = []
+    monkeypatch.setattr(shared, "map_arrow", lambda rows, work, schema: seen.append(schema) or rows)
+    shared.sieved(spark.range(3), F.col("id"), None, True)
+    assert len(seen) == 1

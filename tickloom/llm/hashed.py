@@ -209,4 +209,4 @@ def scored(documents: DataFrame, weights: np.ndarray, bias: float, kinds: str, s
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return documents.mapInArrow(work, StructType([*documents.schema.fields, StructField("score", DoubleType())]))
+    return map_arrow(documents, work, StructType([*documents.schema.fields, StructField("score", DoubleType())]))

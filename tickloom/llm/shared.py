@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import ctypes
 import gc
+import os
+import pickle
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm.textkit import give_back, map_arrow
+
 #: bits of a filter: 8 MB that are broadcast, whatever the input's size
 FILTER_BITS = 1 << 26
 
@@ -47,10 +50,7 @@ def tidy(spark: SparkSession) -> bool:
     grown = heap.totalMemory() > heap.maxMemory() // 2
     if grown:
         spark._jvm.java.lang.System.gc()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
-    if trim:
-        trim(0)
+    give_back()
     return grown
 
 
@@ -125,6 +125,27 @@ def bit_filter(places: DataFrame):
     return places.sparkSession.sparkContext.broadcast(bits)
 
 
+def mapped(held) -> np.ndarray:
+    """The bytes of a broadcast ``bytes`` value, in a worker, without a copy of its own where that can be.
+
+    Spark has put the pickled value into a local file, which all workers of an executor can map:
+    an optional frame, then the length and the bytes as they are. Without such a file, or with
+    another content (encrypted, say), the value is loaded.
+    """
+    path = getattr(held, "_path", None)
+    if path and not hasattr(held, "_value") and os.path.isfile(path):
+        with open(path, "rb") as file:
+            head = file.read(32)
+        at = 2 if head[:1] == pickle.PROTO else 0
+        at += 9 if head[at : at + 1] == pickle.FRAME else 0
+        width = {pickle.BINBYTES: 4, pickle.BINBYTES8: 8}.get(head[at : at + 1], 0)
+        first = at + 1 + width
+        n = int.from_bytes(head[at + 1 : first], "little")
+        if n and first + n < os.path.getsize(path) <= first + n + 2:  # a mark for the memo may follow, and the end
+            return np.memmap(path, np.uint8, "r", first, (n,))
+    return np.frombuffer(held.value, np.uint8)
+
+
 def has_bit(bits: np.ndarray, places: pa.Array) -> np.ndarray:
     spot = places.to_numpy() - 1
     return ((bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1).astype(bool)
@@ -141,7 +162,7 @@ def sieved(rows: DataFrame, place: Column, held, wanted: bool) -> DataFrame:
                 kept = batch.slice(0).select(batch.schema.names[:-1])
                 yield kept.filter(pa.array(hit if wanted else ~hit))
 
-    return rows.withColumn("__place", place).mapInArrow(work, kinds)
+    return map_arrow(rows.withColumn("__place", place), work, kinds)
 
 
 def with_row_ids(docs: DataFrame, key: str, name: str = "_row") -> tuple[DataFrame, Scratch | None]:

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import FILTER_BITS, Scratch, bit_filter, has_bit, place_of, sieved, small_batches
+from tickloom.llm.shared import FILTER_BITS, Scratch, bit_filter, has_bit, mapped, place_of, sieved, small_batches
 from tickloom.llm.textkit import map_arrow, mix, sliding_min, slices, window_hashes, word_hashes, words_of
 
 ANCHOR = 16
@@ -194,7 +194,7 @@ def repeated_cells(documents: DataFrame, text: str, size: int, width: int) -> np
     return bitmap
 
 
-def _is_repeated(bitmap: bytes, window: np.ndarray, anchor: np.ndarray, width: int) -> np.ndarray:
+def _is_repeated(bitmap: bytes | np.ndarray, window: np.ndarray, anchor: np.ndarray, width: int) -> np.ndarray:
     """Of each window: is its estimate 2 or more?"""
     bits = np.frombuffer(bitmap, np.uint8)
     alive = np.arange(len(window))
@@ -215,9 +215,10 @@ def candidate_runs(rows: DataFrame, size: int, width: int, bitmap) -> DataFrame:
     """The runs of windows that are estimated to be repeated. ``rows``: key, tag, text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated = mapped(bitmap)
         for part, texts in slices(batches, "text", SLICE_TEXT):
             text, place, window, anchor = windows_of(texts, size)
-            kept = _is_repeated(bitmap.value, window, anchor, width)
+            kept = _is_repeated(repeated, window, anchor, width)
             text, place, window, anchor = text[kept], place[kept], window[kept], anchor[kept]
             head, length, run = runs_of(text, place, window, anchor)
             if len(head):
@@ -235,11 +236,12 @@ def windows_of_runs(rows: DataFrame, size: int, width: int, bitmap, keys, anchor
     anchors. ``rows``: key, text, place of the key."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeated = mapped(bitmap)
         for batch in batches:
             wanted = batch.filter(pa.array(has_bit(keys.value, batch.column(2)))) if batch.num_rows else batch
             for part, texts in slices([wanted], "text", SLICE_TEXT):
                 text, place, window, anchor = windows_of(texts, size)
-                kept = _is_repeated(bitmap.value, window, anchor, width)
+                kept = _is_repeated(repeated, window, anchor, width)
                 text, place, window, anchor = text[kept], place[kept], window[kept], anchor[kept]
                 head, length, run = runs_of(text, place, window, anchor)
                 if not len(head):
@@ -307,7 +309,7 @@ def remove_repeats(
     spark = documents.sparkSession
     scratch = Scratch(spark, "substring-dedup")
     with small_batches(spark):
-        # as bytes, which a worker unpickles without a second copy
+        # as bytes, which the workers of an executor map from one file
         bitmap = spark.sparkContext.broadcast(repeated_cells(rows, "text", size, width).tobytes())
         runs = scratch.write(candidate_runs(rows.select("key", "tag", "text"), size, width, bitmap), "runs")
         gone = removed_runs(rows, runs, size, width, bitmap, scratch)

@@ -6,6 +6,7 @@ here is a pure function of the text, so a recomputed task yields the same rows.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -157,7 +158,21 @@ def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(part[:n], part[size - span : size - span + n])
 
 
-def map_arrow(frame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str):
+def give_back() -> None:
+    """Return to the system what this process has freed, which Arrow and the C library keep otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
+def map_arrow(frame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema):
     """``frame.mapInArrow`` under a name that says what the operators here rely on: ``work`` sees
-    a partition as an iterator and holds one slice of it at a time."""
-    return frame.mapInArrow(work, schema)
+    a partition as an iterator and holds one slice of it at a time. After the partition the worker
+    gives back its memory: Spark keeps more workers than run at once, one stage after another."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        give_back()
+
+    return frame.mapInArrow(whole, schema)
